@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import connected_components, written
+from ledgerlens.llm.shared import connected_components
+from ledgerlens.scratch import written
 
 #: Dimensions of a block, rows of a slab in one chunk, and rows compared at once.
 BLOCK_DIMS, CHUNK, TILE = 16, 4096, 512

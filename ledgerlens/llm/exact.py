@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import buckets_for, written
+from ledgerlens.llm.shared import buckets_for
+from ledgerlens.scratch import written
 
 #: Runs of these count as one space.
 SPACES = r"[\x20\x09-\x0D]+"

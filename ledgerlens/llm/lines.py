@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import written
+from ledgerlens.scratch import written
 
 
 def _hashes(value: str | Column, prefix: str) -> list[Column]:

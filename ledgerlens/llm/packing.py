@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import _slices, loaded, read_definition
-from ledgerlens.llm.shared import buckets_for, written
+from ledgerlens.llm.shared import buckets_for
+from ledgerlens.scratch import written
 
 #: Pieces that one bin is to hold.
 BIN_PIECES = 8192

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import buckets_for, written
+from ledgerlens.llm.shared import buckets_for
+from ledgerlens.scratch import written
 
 #: Bundles that make up one shard, about.
 BUNDLES_PER_SHARD = 256

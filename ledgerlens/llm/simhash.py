@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import connected_components, written
+from ledgerlens.llm.shared import connected_components
+from ledgerlens.scratch import written
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import _mapped, _slices
-from ledgerlens.llm.shared import written
+from ledgerlens.scratch import written
 
 #: Bound of the training sample, in labelled rows.
 TRAIN_ROWS = 10_000
