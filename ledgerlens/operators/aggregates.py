@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numeric import Window as Dates
 from ledgerlens.functions.numeric import quarters, ratio, trailing_days, trailing_months
 
-AMOUNT = F.expr("cast(quantity * price as decimal(38,8))")
-SOLD = F.expr("abs(quantity)")
+
+def _amount() -> Column:
+    return F.expr("cast(quantity * price as decimal(38,8))")
+
+
+def _sold() -> Column:
+    return F.expr("abs(quantity)")
 
 
 def _total(value: Column, when: Column | None = None) -> Column:
@@ -32,28 +37,28 @@ def latest_dates(sales: DataFrame) -> DataFrame:
 
 def price_distribution(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataFrame:
     """Quantity (absolute) and revenue (signed) at each exact price of an item."""
-    return of_context(sales, context_id, dates).groupBy("item_id", "price").agg(_total(SOLD).alias("total_quantity"), _total(AMOUNT).alias("total_revenue"), F.sum(SOLD).alias("exact_quantity"))
+    return of_context(sales, context_id, dates).groupBy("item_id", "price").agg(_total(_sold()).alias("total_quantity"), _total(_amount()).alias("total_revenue"), F.sum(_sold()).alias("exact_quantity"))
 
 
 def sales_by_customer(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataFrame:
     """Quantity (absolute), revenue (signed) and number of documents of each customer of an item."""
     rows = of_context(sales, context_id, dates)
     # documents are reduced first: a document of one customer is one row of the second grouping
-    by_document = rows.groupBy("item_id", "customer_id", "doc_id").agg(F.sum(SOLD).alias("sold"), F.sum(AMOUNT).alias("amount"))
+    by_document = rows.groupBy("item_id", "customer_id", "doc_id").agg(F.sum(_sold()).alias("sold"), F.sum(_amount()).alias("amount"))
     return by_document.groupBy("item_id", "customer_id").agg(_total(F.col("sold")).alias("total_quantity"), _total(F.col("amount")).alias("total_revenue"), F.count("*").alias("order_count"))
 
 
 def sales_by_month(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataFrame:
     """Quantity (absolute) and revenue (signed) of each calendar month with sales."""
     month = F.date_format("issue_date", "yyyy-MM").alias("month")
-    return of_context(sales, context_id, dates).groupBy("item_id", month).agg(_total(SOLD).alias("total_quantity"), _total(AMOUNT).alias("total_revenue"))
+    return of_context(sales, context_id, dates).groupBy("item_id", month).agg(_total(_sold()).alias("total_quantity"), _total(_amount()).alias("total_revenue"))
 
 
 def period_totals(sales: DataFrame, as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
     """Sold and absolute revenue of each item in trailing periods, in one pass over the longest: sold_<n>, revenue_<n>."""
     windows = {n: trailing_months(as_of, n) for n in months}
     day = F.col("issue_date")
-    sums = [x for n, w in windows.items() for x in (_total(SOLD, w.holds(day)).alias(f"sold_{n}"), F.abs(_total(AMOUNT, w.holds(day))).alias(f"revenue_{n}"))]
+    sums = [x for n, w in windows.items() for x in (_total(_sold(), w.holds(day)).alias(f"sold_{n}"), F.abs(_total(_amount(), w.holds(day))).alias(f"revenue_{n}"))]
     return of_context(sales, 5, windows[max(months)]).groupBy("item_id").agg(*sums)
 
 
@@ -68,7 +73,7 @@ def quarter_windows(sales: DataFrame, as_of: date) -> DataFrame:
     spans = quarters(as_of)
     whole = Dates(spans[0].start, spans[-1].end)
     day = F.col("issue_date")
-    sums = [x for i, w in enumerate(spans, 1) for x in (_total(SOLD, w.holds(day)).alias(f"sold_{i}"), F.abs(_total(AMOUNT, w.holds(day))).alias(f"revenue_{i}"))]
+    sums = [x for i, w in enumerate(spans, 1) for x in (_total(_sold(), w.holds(day)).alias(f"sold_{i}"), F.abs(_total(_amount(), w.holds(day))).alias(f"revenue_{i}"))]
     return of_context(sales, 5, whole).groupBy("item_id").agg(*sums)
 
 
@@ -81,7 +86,7 @@ def long_quarters(totals: DataFrame) -> DataFrame:
 
 def daily_sales(sales: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Absolute quantity of each day with sales in the trailing days."""
-    return of_context(sales, 5, trailing_days(as_of, days)).groupBy("item_id", "issue_date").agg(_total(SOLD).alias("sold"))
+    return of_context(sales, 5, trailing_days(as_of, days)).groupBy("item_id", "issue_date").agg(_total(_sold()).alias("sold"))
 
 
 def item_totals(by_customer: DataFrame) -> DataFrame:
