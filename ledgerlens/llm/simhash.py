@@ -2,10 +2,9 @@
 
 A text's fingerprint has bit i set if more than half of its shingles' 64-bit hashes have it set.  Two
 fingerprints are linked if they differ in at most `radius` bits.  To find the links, the 64 bits are cut
-into three segments: of fingerprints within four bits at least one segment differs in at most one bit.  Each
-fingerprint stands in the table of every segment under its own value, and looks up the Hamming ball of
-radius one around it; flips from 0 to 1 suffice, because the other end of the pair holds the 1.  What meets
-under one value is compared in full.
+into two segments of 32: of fingerprints within five bits at least one segment differs in at most two.  In the
+table of each segment a fingerprint stands under every value of the Hamming ball of radius one around its own,
+so two whose segments differ in up to two bits meet under some value.  What meets is compared in full.
 
 Only distinct fingerprints take part.  A value under which very many meet is dealt into cells, each holding two
 of its chunks, so every pair still meets in some cell but no task holds more than two chunks; in large
@@ -29,7 +28,7 @@ from ledgerlens.llm.shared import connected_components
 from ledgerlens.scratch import written
 
 #: First bit and width of each segment.
-SEGMENTS = ((0, 21), (21, 21), (42, 22))
+SEGMENTS = ((0, 32), (32, 32))
 #: Rows of one value in one cell's chunk.
 CHUNK = 4096
 #: Cells of at most this many rows are compared pair by pair.
@@ -70,21 +69,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def _lookups(batches):
-    """Every fingerprint under its own value of each segment and under those with one more bit set."""
+    """Every fingerprint under the values of the ball of radius one around its own, for each segment.
+
+    The key holds the segment's number above the value.
+    """
     for batch in batches:
         bits = batch.column(0).to_numpy().view(np.uint64)
-        rows, keys = [], []
         for s, (first, width) in enumerate(SEGMENTS):
-            value = (bits >> np.uint64(first)) & np.uint64((1 << width) - 1)
-            tag = np.uint64(s << 32)
-            rows.append(bits)
-            keys.append(value | tag)
-            for i in range(width):
-                free = (value >> np.uint64(i)) & np.uint64(1) == 0
-                rows.append(bits[free])
-                keys.append(value[free] | np.uint64(1 << i) | tag)
-        for r, k in zip(rows, keys):
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r.view(np.int64))], names=["key", "bits"])
+            value = (bits >> np.uint64(first)) & np.uint64((1 << width) - 1) | np.uint64(s << width)
+            for flip in (0, *(1 << i for i in range(width))):
+                yield pa.RecordBatch.from_arrays([pa.array((value ^ np.uint64(flip)).view(np.int64)), batch.column(0)], names=["key", "bits"])
 
 
 def _star(bits: np.ndarray, radius: int) -> tuple[list, list]:
@@ -151,10 +145,10 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (src, dst) that connect exactly the fingerprints (column bits, distinct) reachable by steps of `radius` bits.
 
-    `radius` may be at most 5: up to there one of three segments differs in at most one bit.
+    `radius` may be at most 5: up to there one of the two segments differs in at most two bits.
     """
     if not 0 <= radius <= 5:
-        raise ValueError("three segments with balls of radius one reach five bits at most")
+        raise ValueError("two segments with balls of radius one on both sides reach five bits at most")
     looked = distinct.select("bits").mapInArrow(_lookups, "key long, bits long")
     counts = looked.groupBy("key").count().where(F.col("count") > 1)
     chunks = written(counts.select("key", F.ceil(F.col("count") / CHUNK).cast("long").alias("chunks")))
