@@ -13,6 +13,8 @@ repeated rows are each placed, with slots of their own; other columns are not re
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -99,6 +101,8 @@ def into_shards(sizes: list[int], shards: int) -> list[int]:
     """Shard of each item, for sizes that descend: items above a fair part stand alone, the others share the rest.
 
     The capacity is raised from the fair part by small steps until best fit needs no more shards than there are.
+    Where items are coarse best fit may leave the last shards short; items then move from the fullest of the
+    sharing shards to the emptiest while that brings the two closer.
     """
     total, alone = sum(sizes), 0
     while alone < min(len(sizes), shards - 1) and sizes[alone] * (shards - alone) > total:
@@ -108,7 +112,26 @@ def into_shards(sizes: list[int], shards: int) -> list[int]:
     capacity = max([1, -(-total // bins), *rest[:1]])
     while max(placed := best_fit_decreasing(rest, capacity), default=0) >= bins:
         capacity += max(1, capacity >> 12)
-    return [*range(alone), *(alone + p for p in placed)]
+    return [*range(alone), *(alone + p for p in _evened(rest, placed, bins))]
+
+
+def _evened(sizes: list[int], placed: list[int], bins: int) -> list[int]:
+    """The same items with the gap between the fullest and the emptiest bin closed as far as single moves can."""
+    placed, held = list(placed), [0] * bins
+    inside: list[list[tuple[int, int]]] = [[] for _ in range(bins)]
+    for item, size in enumerate(sizes):
+        insort(inside[placed[item]], (size, item))
+        held[placed[item]] += size
+    while True:
+        full, empty = held.index(max(held)), held.index(min(held))
+        gap = held[full] - held[empty]
+        # the largest item of up to half the gap, or else the smallest if it is below the gap
+        at = max(0, bisect_right(inside[full], (gap // 2, len(sizes))) - 1)
+        if not inside[full] or inside[full][at][0] >= gap:
+            return placed
+        size, item = inside[full].pop(at)
+        insort(inside[empty], (size, item))
+        placed[item], held[full], held[empty] = empty, held[full] - size, held[empty] + size
 
 
 def assign(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
