@@ -152,7 +152,8 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     looked = distinct.select("bits").mapInArrow(_lookups, "key long, bits long")
     counts = looked.groupBy("key").count().where(F.col("count") > 1)
     chunks = written(counts.select("key", F.ceil(F.col("count") / CHUNK).cast("long").alias("chunks")))
-    cells = looked.join(chunks, "key").withColumn("mine", F.pmod(F.xxhash64("bits"), F.col("chunks")))
+    # merged at every size: sending the values that meet to all tasks would only fit while they are few
+    cells = looked.join(chunks.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("bits"), F.col("chunks")))
     cells = cells.select("key", "bits", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     cells = cells.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "bits")
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "bits")
