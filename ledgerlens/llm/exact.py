@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import buckets_for
+from ledgerlens.llm.shared import buckets_for, without
 from ledgerlens.scratch import written
 
 #: Runs of these count as one space.
@@ -99,12 +99,14 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Document ids tell rows apart; rows that repeat both id and text go down to one, rows without an id
     stay only if no row with an id has their text.
     """
-    found = groups(docs, doc_id, text)
-    kept = found.where("kept").select("doc_id", F.col("text_sha256").alias("_sha"))
-    repeated = found.groupBy("doc_id", F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    kept = kept.join(repeated.withColumnRenamed("doc_id", "_id"), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (kept["_sha"] == repeated["_sha"]), "left").select(F.col("doc_id").alias("_id"), kept["_sha"], F.coalesce("_rows", F.lit(1)).alias("_rows"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(text).cast("binary"), 256))
-    rows = marked.join(kept, marked[doc_id].eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_sha"])).select(*[marked[c] for c in docs.columns], marked["_sha"], "_rows")
-    single = rows.where("_rows = 1").select(*docs.columns)
-    several = rows.where("_rows > 1").dropDuplicates([doc_id, "_sha"]).select(*docs.columns)
-    return single.unionByName(several)
+    found = groups(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_of"), "kept")
+    keys = written(found.groupBy("_id", "_of").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")))
+    own, sha = [c for c in docs.columns if c != "_sha"], F.unhex(F.sha2(normalised(text).cast("binary"), 256))
+    same = lambda gone: docs[doc_id].eqNullSafe(gone["_id"]) & (F.col("_sha") == gone["_of"])
+    gone = written(keys.where("not kept").select("_id", "_of"))
+    left = without(docs.withColumn("_sha", sha), gone, same(gone))
+    repeated = written(keys.where("kept and rows > 1").select("_id", "_of"))
+    if repeated.isEmpty():
+        return left.select(*own)
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, "_sha"])
+    return without(left, repeated, same(repeated)).unionByName(once).select(*own)

@@ -13,6 +13,19 @@ def buckets_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
+#: Keys that are sent to all tasks at most; a key takes about a hundred bytes there.
+BROADCAST_KEYS = 200_000
+
+
+def without(rows: DataFrame, gone: DataFrame, on) -> DataFrame:
+    """`rows` without those that meet a row of `gone`, a stored table of keys.
+
+    Up to `BROADCAST_KEYS` keys are sent to the rows; beyond, rows and keys are dealt by key.
+    """
+    few = gone.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(gone) if few else gone, on, "left_anti")
+
+
 def connected_components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Component of every node of an undirected edge list of longs: rows (node, component), component is the least node.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import connected_components
+from ledgerlens.llm.shared import connected_components, without
 from ledgerlens.scratch import written
 
 #: First bit and width of each segment.
@@ -175,5 +175,5 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
     """`docs` without all but the smallest document id of each component; rows without an id stay."""
     found = components(docs, doc_id, text, shingle_words, radius)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    return without(docs, gone, doc_id).select(*docs.columns)
