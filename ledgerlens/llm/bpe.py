@@ -40,7 +40,7 @@ _END = "</w>"
 #: Longer words are encoded each time they occur, so that the cache holds small entries only.
 CACHED_BYTES = 64
 #: The cache of words drops its older half when its newer half holds this many entries.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 17
 
 
 class HalfCache:
@@ -81,6 +81,33 @@ def _gathered(packed: list[bytes], order: np.ndarray) -> tuple[np.ndarray, np.nd
     return _repeated(np.frombuffer(b"".join(packed), np.uint32), np.cumsum(size) - size, size, order)
 
 
+class TokenTable:
+    """Decoder: the texts of all tokens, each followed by a space, in one table of bytes with the offset of every id."""
+
+    def __init__(self, text_of: dict[int, str]):
+        texts = [(text_of.get(i, "") + " ").encode() for i in range(max(text_of) + 1)]
+        self._offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(t) for t in texts], out=self._offsets[1:])
+        self._table = np.frombuffer(b"".join(texts), np.uint8)
+
+    @classmethod
+    def of(cls, definition: str) -> TokenTable:
+        spec = json.loads(definition)
+        return cls({i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]})
+
+    def decode(self, packed: bytes, block: int = 1 << 16) -> bytes:
+        """Text (UTF-8) of packed ids: the tokens joined by one space."""
+        ids = np.frombuffer(packed, "<u4")
+        out = []
+        for i in range(0, len(ids), block):
+            part = ids[i : i + block]
+            start = self._offsets[part]
+            size = self._offsets[part + 1] - start
+            place = np.cumsum(size) - size
+            out.append(self._table[np.arange(int(size.sum())) + np.repeat(start - place, size)].tobytes())
+        return b"".join(out)[:-1]
+
+
 class WordBpe:
     """Encoder and decoder of a tokenizers file of kind BPE with an end-of-word suffix.
 
@@ -125,7 +152,6 @@ class WordBpe:
         self._edges: dict[tuple[int, int], list] = {}
         self._shorter: dict[int, int] = {}
         self._words = HalfCache()
-        self._offsets, self._table = self._offset_table()
 
     def _marked(self, token: str) -> str:
         return token[: -len(_END)] + self._MARK if token.endswith(_END) else token
@@ -299,37 +325,19 @@ class WordBpe:
         """Ids of one whole text."""
         return np.frombuffer(self.encode_column(pa.array([text], pa.string()))[0].as_py(), "<u4").tolist()
 
-    # -- decoding ------------------------------------------------------------------------------------------
-
-    def _offset_table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets of every id in one table of bytes; each token's text is followed by a space."""
-        texts = [(self._text_of.get(i, "") + " ").encode() for i in range(max(self._text_of) + 1)]
-        offsets = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) for t in texts], out=offsets[1:])
-        return offsets, np.frombuffer(b"".join(texts), np.uint8)
-
-    def decode(self, packed: bytes, block: int = 1 << 16) -> bytes:
-        """Text (UTF-8) of packed ids: the tokens joined by one space."""
-        ids = np.frombuffer(packed, "<u4")
-        out = []
-        for i in range(0, len(ids), block):
-            part = ids[i : i + block]
-            start = self._offsets[part]
-            size = self._offsets[part + 1] - start
-            place = np.cumsum(size) - size
-            out.append(self._table[np.arange(int(size.sum())) + np.repeat(start - place, size)].tobytes())
-        return b"".join(out)[:-1]
+    def decode(self, packed: bytes) -> bytes:
+        return TokenTable(self._text_of).decode(packed)
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[tuple, object] = {}
 
 
-def loaded(definition: str) -> WordBpe:
-    """The encoder of this definition, built once in each Python worker."""
-    key = hash(definition)
+def loaded(make, definition: str):
+    """`make(definition)`, built once in each Python worker."""
+    key = make, hash(definition)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(definition)
+        _LOADED[key] = make(definition)
     return _LOADED[key]
 
 
@@ -339,7 +347,7 @@ def read_definition(path: str) -> str:
         return file.read()
 
 
-def _slices(column: pa.Array, limit: int = 1 << 24):
+def _slices(column: pa.Array, limit: int = 1 << 22):
     """Stretches of a column of about `limit` bytes each; a longer text is a stretch of its own."""
     size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     cut = (np.cumsum(size) - size) // limit
@@ -368,7 +376,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def make():
-        bpe = loaded(definition.value)
+        bpe = loaded(WordBpe, definition.value)
         return lambda column: [pa.concat_arrays([bpe.encode_column(part) for part in _slices(column)] or [pa.array([], pa.binary())])]
 
     return _mapped(docs, text, [(ids, T.BinaryType())], make)
@@ -379,7 +387,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     definition = encoded.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def make():
-        bpe = loaded(definition.value)
-        return lambda column: [pa.array([bpe.decode(p or b"").decode("utf-8") for p in column.to_pylist()], pa.string())]
+        table = loaded(TokenTable.of, definition.value)
+        return lambda column: [pa.array((table.decode(p.as_py() or b"") for p in column), pa.binary()).cast(pa.string())]
 
     return _mapped(encoded, ids, [(text, T.StringType())], make)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.bpe import _slices, loaded, read_definition
+from ledgerlens.llm.bpe import WordBpe, _slices, loaded, read_definition
 from ledgerlens.llm.shared import buckets_for
 from ledgerlens.scratch import written
 
@@ -88,7 +88,7 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int, end_id: int, doc_i
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        bpe = loaded(definition.value)
+        bpe = loaded(WordBpe, definition.value)
         for batch in batches:
             done = 0
             for part in _slices(batch.column(1)):
