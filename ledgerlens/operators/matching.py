@@ -18,7 +18,7 @@ def match_estimates(sales: DataFrame, dates: Dates) -> DataFrame:
     """Estimate lines of a period with the newest invoice (then the lowest id) of the same item, number and customer, or null."""
     rows = sales.where(dates.holds(F.col("issue_date")))
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("issue_date"), "doc_id")
-    invoices = rows.where("context_id = 5").select(*KEYS, F.col("doc_id").alias("invoice_id"), F.col("issue_date").alias("invoice_date"), F.row_number().over(newest.orderBy(F.desc("issue_date"), "doc_id")).alias("nth"))
+    invoices = rows.where("context_id = 5").select(*KEYS, F.col("doc_id").alias("invoice_id"), F.col("issue_date").alias("invoice_date"), F.row_number().over(newest).alias("nth"))
     estimates = rows.where("context_id = 4").select(*KEYS, "doc_id", "issue_date", "quantity", "price")
     return estimates.join(invoices.where("nth = 1").drop("nth"), KEYS, "left")
 
