@@ -241,6 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "report_item_sales_periods": _PERIOD_CTE + " union all ".join(f"select item_id, {n} as months, sold_{n} as sold, revenue_{n} as revenue from totals" for n, _ in MONTHS),
         "report_trends": _TREND_CTE + f"select item_id, item_name, coalesce(direction, 'stable') as direction, {r('coalesce(growth_rate, 0)', 3)} as growth_rate, coalesce(momentum, 'stable') as momentum, {r('coalesce(volatility, 0)', 3)} as volatility from all_items left join trend using (item_id)",
         "write_json": _TREND_CTE + f"select item_id, item_name, coalesce(direction, 'stable') as direction, {r('coalesce(growth_rate, 0)', 3)} as growth_rate, coalesce(momentum, 'stable') as momentum, {r('coalesce(volatility, 0)', 3)} as volatility from all_items left join trend using (item_id)",
+        "sync_state": "select cast(996620400 as bigint) as lastSync, cast(996620400 as bigint) as lastFullSync, (select count(*) from headers) as documentCount, (select count(*) from item_lines) as itemDocumentCount, 'main' as accountName, 1 as schemaVersion",
         "sync_full": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",
         "stream_ingest_documents": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",
         "sync_summary": "select 'full' as type, (select count(*) from headers) as documents_processed, (select count(*) from item_lines) as lines_processed, 0 as documents_deleted, cast(null as double) as seconds",
