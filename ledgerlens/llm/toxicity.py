@@ -35,6 +35,8 @@ BUCKET_BITS = 18
 NGRAMS = (3, 6)
 #: A bucket's log ratio must be this many standard errors from 0, and at most so many buckets are kept.
 CLEAR, MOST_FEATURES = 4.0, 4096
+#: Bytes of text whose n-grams are held at once, about.
+STRETCH_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -107,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         seen = np.zeros((2, 1 << BUCKET_BITS), np.int64)
         for batch in batches:
             done = 0
-            for part in _slices(batch.column(0), 1 << 22):
+            for part in _slices(batch.column(0), STRETCH_BYTES):
                 toxic = batch.column(1).slice(done, len(part)).to_numpy()
                 done += len(part)
                 row, bucket, _ = _values(part)
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def select(batches):
         for batch in batches:
             done = 0
-            for part in _slices(batch.column(0), 1 << 22):
+            for part in _slices(batch.column(0), STRETCH_BYTES):
                 toxic = batch.column(1).slice(done, len(part))
                 done += len(part)
                 row, bucket, times = _values(part, wanted.value)
@@ -174,12 +176,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         return pa.array(1 / (1 + np.exp(-np.clip(raw, -50, 50))))
 
     def make():
-        return lambda column: [pa.concat_arrays([one(part) for part in _slices(column)] or [pa.array([], pa.float64())])]
+        return lambda column: [pa.concat_arrays([one(part) for part in _slices(column, 2 * STRETCH_BYTES)] or [pa.array([], pa.float64())])]
 
     return _mapped(docs, text, [(name, T.DoubleType())], make)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """`docs` without the rows that score `threshold` or more; rows without a text stay if the empty text scores less."""
-    scored = score(docs.withColumn("_text", F.col(text)), model, "_text", "_score")
-    return scored.where(F.col("_score") < threshold).select(*docs.columns)
+    name = next(n for n in ("_score" + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    return score(docs, model, text, name).where(F.col(name) < threshold).select(*docs.columns)
