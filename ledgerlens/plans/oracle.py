@@ -104,7 +104,7 @@ _MONTH_CTE = """, months as (
 _HISTORY_CTE = _MONTH_CTE + f""",
 history0 as (
   select item_id, count(*) as points, sum(total_quantity) / count(*) as mean, {_VOL.format('total_quantity')} as volatility, min_by(total_quantity, month) as f, max_by(total_quantity, month) as l,
-         sum(total_revenue) / nullif(sum(total_quantity), 0) as rpu from months group by item_id),
+         cast(sum(cast(total_revenue as decimal(38,8))) as double) / nullif(cast(sum(cast(total_quantity as decimal(38,4))) as double), 0) as rpu from months group by item_id),
 history as (select *, case when points >= 2 then {_GROWTH.format('f', 'l')} else 0.0 end as growth from history0)"""
 _CONF = "case when coalesce(volatility, 0) < 0.1 and coalesce(points, 0) >= 6 then 'high' when coalesce(volatility, 0) <= 0.2 and coalesce(points, 0) >= 3 then 'medium' else 'low' end"
 _DAILY_CTE = """, daily as (
