@@ -47,7 +47,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "host", text: str = "text", m
     cut = written(hit.groupBy("host", "page1", "page2").agg(F.collect_set("pos").alias("cut")))
     cut = cut.select(F.col("host").alias("_host"), F.col("page1").alias("_p1"), F.col("page2").alias("_p2"), "cut")
     marked = pages.select(*kept, F.col(host).cast("string").alias("_h"), *_hashes(F.col(text), "_page"))
-    joined = marked.join(cut, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_page1") == F.col("_p1")) & (F.col("_page2") == F.col("_p2")), "left")
+    # merged at every size: sending the cuts to all tasks would only fit while they are few
+    joined = marked.join(cut.hint("merge"), F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_page1") == F.col("_p1")) & (F.col("_page2") == F.col("_p2")), "left")
     rest = F.array_join(F.filter(F.split(text, "\\n"), lambda line, i: ~F.array_contains("cut", i)), "\n")
     cleaned = F.when(F.col("cut").isNull(), F.col(text)).otherwise(rest)
     return joined.select(*[cleaned.alias(c) if c == text else F.col(c) for c in kept], F.coalesce(F.size("cut"), F.lit(0)).alias(dropped))
