@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import exact, packing, queries, simhash, toxicity
+from ledgerlens.llm import exact, nearcopies, packing, queries, toxicity
 from ledgerlens.scratch import written
 
 
@@ -20,7 +20,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    return nearcopies.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
