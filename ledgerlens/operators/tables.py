@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -99,26 +98,26 @@ def sync_summary(kind: str, documents: DataFrame, lines: DataFrame, deleted: int
 
 @dataclass(frozen=True)
 class Snapshots:
-    """Both tables in one versioned folder: a new version is written whole, then a pointer file names it."""
+    """Both tables in numbered version folders; the newest one in which both are complete counts."""
 
     spark: SparkSession
     root: str
 
-    def _pointer(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _numbers(self, inside: str) -> set[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v-*{inside}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return {int(next(p for p in reversed(f.getPath().toString().split("/")) if p.startswith("v-"))[2:]) for f in found}
 
     def version(self) -> str | None:
-        path, fs = self._pointer()
-        return self.spark.read.text(f"{self.root}/current").first()[0] if fs.exists(path) else None
+        whole = self._numbers("/documents/_SUCCESS") & self._numbers("/lines/_SUCCESS")
+        return f"v-{max(whole):012d}" if whole else None
 
     def read(self) -> tuple[DataFrame, DataFrame] | None:
         name = self.version()
         return name and tuple(self.spark.read.parquet(f"{self.root}/{name}/{t}") for t in ("documents", "lines"))
 
     def swap(self, documents: DataFrame, lines: DataFrame) -> str:
-        name = f"v-{uuid.uuid4().hex}"
+        name = f"v-{max(self._numbers(''), default=0) + 1:012d}"  # a broken version keeps its number
         documents.write.parquet(f"{self.root}/{name}/documents")
         lines.write.parquet(f"{self.root}/{name}/lines")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
         return name

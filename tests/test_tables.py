@@ -1,6 +1,7 @@
 """Maintenance of tables, landing, validation and streaming."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,18 @@ def test_late_versions_do_not_replace_newer_ones(spark, tmp_path):
     assert held.first().customer_id == "new" and lines.first().item_id == "2"
 
 
+def test_a_lost_driver_leaves_the_last_whole_version(spark, tmp_path):
+    store = tables.Snapshots(spark, str(tmp_path / "s"))
+    assert store.read() is None
+    store.swap(spark.range(1), spark.range(2))
+    second = store.swap(spark.range(3), spark.range(4))
+    shutil.rmtree(tmp_path / "s/current", ignore_errors=True)  # as an overwritten pointer leaves it
+    spark.range(9).write.parquet(str(tmp_path / "s/v-000000000003/documents"))
+    assert store.version() == second and [t.count() for t in store.read()] == [3, 4]
+    store.swap(spark.range(5), spark.range(6))
+    assert [t.count() for t in store.read()] == [5, 6]
+
+
 def test_change_records_wrapped_bare_and_broken(spark, tmp_path):
     (tmp_path / "feed").mkdir()
     (tmp_path / "feed/a.json").write_text('{"item": {"id": 1, "name": "a"}}\n{"id": 2, "name": "b"}\n{oops\n{}\n')
