@@ -162,6 +162,10 @@ def oracle_sql() -> dict[str, str]:
         "list_categories": "select * from categories order by id limit 20 offset 20",
         "list_locations": "select * from locations order by id limit 10 offset 10",
         "get_by_id": "select id, name, sku, category_id, quantity, cost, price, modified from items where id % 100 = 7",
+        "get_items_by_id": "select id, name, sku, category_id, quantity, cost, price, modified from items where id % 50 = 0",
+        "get_customers_by_id": "select * from accounts where cast(substr(id, 2) as bigint) % 50 = 0",
+        "get_categories_by_id": "select * from categories where id in (select category_id from items where id % 50 = 0)",
+        "get_locations_by_id": "select * from locations where id % 50 = 0",
         "valid_context": "select doc_id, context_id, case when context_id not in (2, 8, 10) then 'context_id is not valid' end as reason from headers",
         "validate_customers": "select id, case when context_id not in (4, 5, 11) then 'context_id is not valid' end as reason from accounts",
         # joins

@@ -121,6 +121,27 @@ def get_by_id(spark, t):
     return lookups.by_keys(t.items, t.items.where("id % 100 = 7"), "id").select(_ITEM)
 
 
+@_query
+def get_items_by_id(spark, t):
+    return lookups.by_keys(t.items, t.items.where("id % 50 = 0"), "id").select(_ITEM)
+
+
+@_query
+def get_customers_by_id(spark, t):
+    return lookups.by_keys(t.customers, t.customers.where(_number("id") % 50 == 0), "id")
+
+
+@_query
+def get_categories_by_id(spark, t):
+    keys = t.items.where("id % 50 = 0").select(F.col("category_id").alias("id"))
+    return lookups.by_keys(t.categories, keys, "id")
+
+
+@_query
+def get_locations_by_id(spark, t):
+    return lookups.by_keys(t.locations, t.locations.where("id % 50 = 0"), "id")
+
+
 @_query
 def valid_context(spark, t):
     return t.documents.select("doc_id", "context_id", validate.context_reason(F.col("context_id"), accounts=True).alias("reason"))

@@ -160,3 +160,16 @@ def test_registry_covers_its_oracle():
 
 def test_scratch_folder_is_the_shared_one(spark):
     assert scratch.folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("kind", ["items", "customers", "categories", "locations"])
+def test_every_dimension_is_looked_up(spark, kind):
+    duckdb = pytest.importorskip("duckdb")
+    folder, name = "/root/testdata/sf0.01", f"get_{kind}_by_id"
+    held = duckdb.connect()
+    for t in ("orders", "lineitem", "part", "customer", "supplier", "nation"):
+        held.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = held.execute(oracle.oracle_sql()[name]).fetchall()
+    found = registry.queries()[name](spark, folder)
+    text = lambda row: [float(x) if isinstance(x, int) or hasattr(x, "as_tuple") else x for x in row]
+    assert want and sorted(map(str, map(text, found.collect()))) == sorted(map(str, map(text, want)))
