@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, embeddings, exact, lines, packing, sharding, simhash, toxicity, urllists, warc
+from ledgerlens.scratch import written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW, END_ID, SHARDS = 2048, 1, 16
@@ -39,10 +40,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_records(pages: DataFrame, per_archive: int = 500) -> DataFrame:
-    """Records (archive, offset, payload, page_id) of pages: runs of page ids stand in one archive, one after the other."""
+    """Records (archive, offset, payload, page_id) of pages: runs of page ids stand in one archive, one after the other, and pages without an id in their own."""
     payload = F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
-    rows = pages.select("page_id", F.concat(F.lit("archive-"), F.floor(F.col("page_id") / per_archive).cast("string")).alias("archive"), payload.alias("payload"))
-    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pages.select("page_id", F.coalesce(F.concat(F.lit("archive-"), F.floor(F.col("page_id") / per_archive).cast("string")), F.lit("archive-none")).alias("archive"), payload.alias("payload"))
+    before = Window.partitionBy("archive").orderBy("page_id", F.sha2(F.col("payload").cast("binary"), 256)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)))
 
 
@@ -53,7 +54,7 @@ def damaged_replica(records: DataFrame) -> DataFrame:
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_records(_table(spark, sf_dir, "pages"))
+    records = written(warc_records(_table(spark, sf_dir, "pages")))  # both replicas have the same offsets
     return warc.audit(records, damaged_replica(records))
 
 

@@ -156,3 +156,13 @@ def test_boilerplate_lines_equal_brute_force(spark):
     clean = lambda h, t: None if t is None else "\n".join(x for x in t.split("\n") if (h, x) not in drop)
     assert sorted(map(str, ((r.doc_id, r.text, r.pos) for r in found.collect()))) == sorted(map(str, ((i, clean(h, t), 5) for i, h, t in rows)))
     assert lines.drop_boilerplate(table.limit(0), "host", "text").count() == 0
+
+
+def test_audit_of_pages_with_null_and_repeated_ids(spark, tmp_path):
+    from ledgerlens.llm import queries
+
+    rows = [(None, "u", "a" * 10), (None, "u", "b" * 20), (5, "u", "c"), (5, "u", "d" * 30), (5, "u", "e" * 7), (7, "u", "f"), (8, "u", "g")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    found = sorted((r.archive, r.status, r.left_length) for r in queries.op3_warc_audit(spark, str(tmp_path)).collect())
+    head = len("WARC-Target-URI: u\r\n\r\n")
+    assert found == [("archive-0", "missing", head + 1), ("archive-none", "missing", head + 10), ("archive-none", "missing", head + 20)]
