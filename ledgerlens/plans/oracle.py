@@ -131,7 +131,7 @@ stock as (select *, excess_units * coalesce(unit_cost, 0.0) as excess_value, cas
 _MATCH_CTE = """, invoices as (
   select item_id, doc_number, customer_id, doc_id as invoice_id, issue_date as invoice_date from (
     select *, row_number() over (partition by item_id, doc_number, customer_id order by issue_date desc, doc_id) as nth from year_sales) where nth = 1),
-matched as (
+matched as materialized (
   select e.item_id, e.doc_number, e.customer_id, e.doc_id, e.issue_date, e.quantity, e.price, i.invoice_id, i.invoice_date
   from (select * from sales where context_id = 4 and issue_date between date '2000-08-01' and date '2001-08-01') e left join invoices i using (item_id, doc_number, customer_id))"""
 _CYCLE = f"select item_id, {r('coalesce(cast(sum(abs(invoice_date - issue_date)) as double) / nullif(count(invoice_date), 0), 0)', 1)} as avg_cycle_days, {r('coalesce(median(cast(abs(invoice_date - issue_date) as double)), 0)', 1)} as median_cycle_days from matched group by item_id"
