@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import buckets_for, without
+from ledgerlens.llm.shared import buckets_for, one_of_each
 from ledgerlens.scratch import written
 
 #: Runs of these count as one space.
@@ -28,8 +28,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 BLOCK_BYTES = 1024
 #: Distinct values that one bucket is to sort.
 BUCKET_ROWS = 8192
-#: Names of a bucket are numbered from its number times this.
-_SPAN = 1 << 40
+#: Names of a bucket are numbered from its number times this; a bucket that holds more, which hashing all but rules
+#: out, is an error.  So a long takes 2^43 buckets, 10^17 distinct values.
+_SPAN = 1 << 20
 
 
 def normalised(text: str | Column) -> Column:
@@ -42,7 +43,8 @@ def _named(distinct: DataFrame, by: list[str], rows: int) -> DataFrame:
     n = buckets_for(rows, BUCKET_ROWS, 64)
     bucketed = distinct.withColumn("bucket", F.pmod(F.xxhash64(*by), F.lit(n)))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(*by))
-    return bucketed.withColumn("name", F.col("bucket") * _SPAN + rank).drop("bucket")
+    within = F.when(F.col("rank") < _SPAN, F.col("rank")).otherwise(F.raise_error(F.lit("a bucket holds more values than its span of names")))
+    return bucketed.withColumn("rank", rank).withColumn("name", F.col("bucket") * F.lit(_SPAN).cast("long") + within).drop("bucket", "rank")
 
 
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
@@ -99,14 +101,5 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Document ids tell rows apart; rows that repeat both id and text go down to one, rows without an id
     stay only if no row with an id has their text.
     """
-    found = groups(docs, doc_id, text).select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_of"), "kept")
-    keys = written(found.groupBy("_id", "_of").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")))
-    own, sha = [c for c in docs.columns if c != "_sha"], F.unhex(F.sha2(normalised(text).cast("binary"), 256))
-    same = lambda gone: docs[doc_id].eqNullSafe(gone["_id"]) & (F.col("_sha") == gone["_of"])
-    gone = written(keys.where("not kept").select("_id", "_of"))
-    left = without(docs.withColumn("_sha", sha), gone, same(gone))
-    repeated = written(keys.where("kept and rows > 1").select("_id", "_of"))
-    if repeated.isEmpty():
-        return left.select(*own)
-    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, "_sha"])
-    return without(left, repeated, same(repeated)).unionByName(once).select(*own)
+    found = groups(docs, doc_id, text).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("mark"), "kept")
+    return one_of_each(docs, doc_id, F.unhex(F.sha2(normalised(text).cast("binary"), 256)), found)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
-from ledgerlens.llm.shared import BROADCAST_KEYS, buckets_for, connected_components, without
+from ledgerlens.llm.shared import BROADCAST_KEYS, buckets_for, connected_components, one_of_each
 from ledgerlens.scratch import written
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -215,24 +215,22 @@ def links(docs: DataFrame, marked: DataFrame, text: str = "text", percent: int =
     return cells.mapInArrow(_links_of(_sets_near(percent)), "src long, dst long").where("src <> dst").distinct()
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = 4) -> DataFrame:
-    """Rows (doc_id, component_id), one per document."""
+def _found(docs: DataFrame, doc_id: str, text: str, percent: int, radius: int) -> DataFrame:
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     marked = written(source.mapInArrow(_marks, f"doc_id {kind}, h long, bits long, print binary, sketch binary, bands array<long>"))
-    distinct = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
+    distinct = simhash.firsts_of(marked)
     # a fingerprint has 66 lookups: dealt so that no task counts more than about a million
     dealt = distinct.repartition(buckets_for(distinct.count(), 1 << 14), "bits")
-    of = connected_components(simhash.links(dealt, radius).unionByName(links(docs, marked, text, percent)))
-    rooted = distinct.join(of.select(F.col("node").alias("bits"), "component"), "bits", "left").select("bits", "first_id", F.coalesce("component", "bits").alias("root"))
-    rooted = written(rooted)
-    ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = rooted.join(ids, "root").select("bits", "component_id")
-    return marked.select("doc_id", "bits").join(named, "bits").select("doc_id", "component_id")
+    return simhash.rooted(marked, distinct, simhash.links(dealt, radius).unionByName(links(docs, marked, text, percent)))
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = 4) -> DataFrame:
+    """Rows (doc_id, component_id), one per document."""
+    return _found(docs, doc_id, text, percent, radius).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = 4) -> DataFrame:
-    """`docs` without all but the smallest document id of each component; rows without an id stay."""
-    found = components(docs, doc_id, text, percent, radius)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    return without(docs, gone, doc_id).select(*docs.columns)
+    """`docs` with one row of each component, as in `simhash`."""
+    found = _found(docs, doc_id, text, percent, radius)
+    return one_of_each(docs, doc_id, F.xxhash64(F.col(text).cast("string")), simhash.kept_of(found))

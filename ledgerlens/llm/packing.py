@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import WordBpe, _slices, loaded, read_definition
-from ledgerlens.llm.shared import buckets_for
+from ledgerlens.llm.shared import buckets_for, unused
 from ledgerlens.scratch import written
 
 #: Pieces that one bin is to hold.
@@ -107,15 +108,21 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int, end_id: int, doc_i
 
 
 def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """`pieces` with sequence_id and offset.  Pieces are at least 1 and at most `window` long; `order` breaks ties of length."""
-    table = written(pieces)
+    """`pieces` with sequence_id and offset, which replace columns of these names.
+
+    Pieces are at least 1 and at most `window` long; `order` breaks ties of length.
+    """
+    table = written(pieces.drop("sequence_id", "offset"))
     bins = buckets_for(table.count(), BIN_PIECES)
     schema = T.StructType([*table.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    (name,) = unused(table.columns, "_bin")
 
     def run(key: tuple, held: pa.Table) -> pa.Table:
-        held = held.drop_columns("_bin").sort_by([(length, "descending"), *((c, "ascending") for c in order)])
+        held = held.drop_columns(name)
+        # only what orders the pieces is sorted; what they carry along is taken once
+        held = held.take(pc.sort_indices(held.select([length, *order]), [(length, "descending"), *((c, "ascending") for c in order)]))
         at, offset = best_fit_decreasing(held[length].to_numpy(), window)
         return held.append_column("sequence_id", pa.array((key[0].as_py() << 32) + at)).append_column("offset", pa.array(offset))
 
-    dealt = table.withColumn("_bin", F.pmod(F.xxhash64(*order), F.lit(bins)))
-    return dealt.groupBy("_bin").applyInArrow(run, schema)
+    dealt = table.withColumn(name, F.pmod(F.xxhash64(*order), F.lit(bins)))
+    return dealt.groupBy(name).applyInArrow(run, schema)

@@ -183,13 +183,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pieces_of(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of documents with the checksum of their ids in place of the ids."""
+    """Pieces of documents with their ids and the checksum of these."""
     pieces = packing.tokenised_pieces(docs, vocabulary or public_tokenizers.path(VOCABULARY), WINDOW, END_ID)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "ids")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(pieces_of(_table(spark, sf_dir, "documents")), WINDOW, order=("doc_id", "start", "ids_crc32"))
+    return packing.pack(pieces_of(_table(spark, sf_dir, "documents")).drop("ids"), WINDOW, order=("doc_id", "start", "ids_crc32"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Hashed buckets, and connected components of links."""
+"""Hashed buckets, names, one row of each group, and connected components of links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.scratch import written
@@ -13,6 +13,12 @@ def buckets_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with underscores put after it until no column has it, in whatever case."""
+    taken = {c.lower() for c in columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 #: Keys that are sent to all tasks at most; a key takes about a hundred bytes there.
 BROADCAST_KEYS = 200_000
 
@@ -26,6 +32,25 @@ def without(rows: DataFrame, gone: DataFrame, on) -> DataFrame:
     return rows.join(F.broadcast(gone) if few else gone, on, "left_anti")
 
 
+def one_of_each(docs: DataFrame, doc_id: str, mark: Column, found: DataFrame) -> DataFrame:
+    """`docs` with the rows that `found` keeps.
+
+    `found` has a row (id, mark, kept) for each row of `docs`; `mark` tells rows of one id apart.  Rows that are alike
+    in both are one row here: they stay or go together, and where they stay one of them is left.
+    """
+    own = docs.columns
+    name, key, of = unused(own, "_mark", "_id", "_of")
+    keys = written(found.groupBy(F.col("id").alias(key), F.col("mark").alias(of)).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows")))
+    same = lambda keys: docs[doc_id].eqNullSafe(keys[key]) & (F.col(name) == keys[of])
+    gone = written(keys.where("not kept").select(key, of))
+    left = without(docs.withColumn(name, mark), gone, same(gone))
+    repeated = written(keys.where("kept and rows > 1").select(key, of))
+    if repeated.isEmpty():
+        return left.select(*own)
+    once = left.join(repeated, same(repeated), "left_semi").dropDuplicates([doc_id, name])
+    return without(left, repeated, same(repeated)).unionByName(once).select(*own)
+
+
 def connected_components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Component of every node of an undirected edge list of longs: rows (node, component), component is the least node.
 

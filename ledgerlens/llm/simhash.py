@@ -13,7 +13,9 @@ instead of all pairs.
 
 Defined results: a null text counts as empty; a text without words has fingerprint 0; texts are read whole;
 copies and repeated rows share a fingerprint and a component; a component's id is its smallest non-null
-document id (null if none has one); other columns are not read; an empty table gives no rows.
+document id (null if none has one); other columns are not read; an empty table gives no rows.  Where one row of
+each component is to stay, it is the one with the smallest document id, rows without an id come last, and of rows
+that share the id the one whose text has the least hash; rows that repeat both id and text go down to one.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import connected_components, without
+from ledgerlens.llm.shared import connected_components, one_of_each
 from ledgerlens.scratch import written
 
 #: First bit and width of each segment.
@@ -56,16 +58,16 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4) -> DataFrame:
-    """Rows (doc_id, bits): each document's fingerprint as a signed long."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """Rows (doc_id, h, bits): each document's text hash and its fingerprint as a signed long."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             bits = np.fromiter((fingerprint(t or b"", shingle_words) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits.view(np.int64))], names=["doc_id", "h", "bits"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, bits long")
+    return source.mapInArrow(run, f"doc_id {kind}, h long, bits long")
 
 
 def _lookups(batches):
@@ -160,20 +162,41 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return cells.mapInArrow(_links_of_cells(radius), "src long, dst long").distinct()
 
 
+def rooted(marked: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows (doc_id, h, bits, first), one per row of `marked`: first is the struct (none, doc_id, h) of its component's first row.
+
+    `marked` has rows (doc_id, h, bits), `distinct` (bits, first) each fingerprint once, `linked` the links (src, dst).
+    """
+    of = connected_components(linked).select(F.col("node").alias("bits"), "component")
+    found = written(distinct.join(of, "bits", "left").select("bits", "first", F.coalesce("component", "bits").alias("root")))
+    firsts = written(found.groupBy("root").agg(F.min("first").alias("first")))
+    named = found.select("bits", "root").join(firsts, "root").select("bits", "first")
+    return marked.select("doc_id", "h", "bits").join(named, "bits")
+
+
+def firsts_of(marked: DataFrame) -> DataFrame:
+    """Rows (bits, first): of each fingerprint the first row, those without an id last."""
+    return written(marked.groupBy("bits").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")))
+
+
+def kept_of(found: DataFrame) -> DataFrame:
+    """What `one_of_each` asks for, from `rooted`."""
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    return found.select(F.col("doc_id").alias("id"), F.col("h").alias("mark"), kept.alias("kept"))
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, shingle_words: int, radius: int) -> DataFrame:
+    marked = written(fingerprints(docs, doc_id, text, shingle_words))
+    distinct = firsts_of(marked)
+    return rooted(marked, distinct, links(distinct, radius))
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
     """Rows (doc_id, bits, component_id), one per document."""
-    marked = written(fingerprints(docs, doc_id, text, shingle_words))
-    distinct = written(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    of = connected_components(links(distinct, radius))
-    rooted = distinct.join(of.select(F.col("node").alias("bits"), "component"), "bits", "left").select("bits", "first_id", F.coalesce("component", "bits").alias("root"))
-    rooted = written(rooted)
-    ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = rooted.join(ids, "root").select("bits", "component_id")
-    return marked.join(named, "bits").select("doc_id", "bits", "component_id")
+    return _found(docs, doc_id, text, shingle_words, radius).select("doc_id", "bits", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:
-    """`docs` without all but the smallest document id of each component; rows without an id stay."""
-    found = components(docs, doc_id, text, shingle_words, radius)
-    gone = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    return without(docs, gone, doc_id).select(*docs.columns)
+    """`docs` with one row of each component."""
+    found = _found(docs, doc_id, text, shingle_words, radius)
+    return one_of_each(docs, doc_id, F.xxhash64(F.col(text).cast("string")), kept_of(found))
