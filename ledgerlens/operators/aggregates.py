@@ -40,6 +40,11 @@ def price_distribution(sales: DataFrame, dates: Dates, context_id: int = 5) -> D
     return of_context(sales, context_id, dates).groupBy("item_id", "price").agg(_total(_sold()).alias("total_quantity"), _total(_amount()).alias("total_revenue"), F.sum(_sold()).alias("exact_quantity"))
 
 
+def in_order(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows by item and then by these columns, ascending: a sort by ranges."""
+    return rows.orderBy("item_id", *columns)
+
+
 def sales_by_customer(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataFrame:
     """Quantity (absolute), revenue (signed) and number of documents of each customer of an item."""
     rows = of_context(sales, context_id, dates)

@@ -23,8 +23,12 @@ def by_key(rows: DataFrame, key: str, value) -> DataFrame:
     return rows.where(F.col(key) == value)
 
 
+def changed_since(rows: DataFrame, moment: int, modified: str = "modified") -> DataFrame:
+    return rows.where(F.col(modified) > moment)
+
+
 def modified_since(rows: DataFrame, moment: int) -> DataFrame:
-    return rows.where(F.col("modified") > moment).orderBy("modified")
+    return changed_since(rows, moment).orderBy("modified")
 
 
 def lines_for_period(sales: DataFrame, dates: Dates, context_id: int, item_id=None) -> DataFrame:

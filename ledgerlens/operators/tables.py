@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlens import schemas
+from ledgerlens.operators import validate
 from ledgerlens.schemas import STATE
 
 
@@ -58,6 +62,35 @@ def apply_changes(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataF
     return both.select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in fields]).select(*rows.columns)
 
 
+def split_creates(changes: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """Changes without the creates that `reason` refuses, and those with their reason."""
+    marked = changes.withColumn("reason", F.when(F.col("op") == "create", reason))
+    return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def apply_customer_feed(customers: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Customers after a change feed, and the refused creates."""
+    valid, refused = split_creates(changes, validate.context_reason(F.col("context_id"), accounts=True))
+    return apply_changes(customers, valid), refused
+
+
+def apply_document_feed(documents: DataFrame, lines: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers and lines after a change feed whose records nest their lines as landed documents do, and the refused creates.
+
+    Lines that a change gives replace all of the document's; a deletion takes the lines along.
+    """
+    valid, refused = split_creates(changes, validate.document_reason())
+    kept = [c for c in documents.columns if c != "doc_id"]
+    given = valid.withColumns({"doc_number": F.col("document_number"), "issue_date": validate.day_of(F.col("issue_date")), "modified": validate.seconds_of(F.col("modified"))}).select("op", "seq", "id", *kept, "document_items")
+    held = documents.withColumnRenamed("doc_id", "id").withColumn("document_items", F.lit(None).cast(given.schema["document_items"].dataType))
+    after = apply_changes(held, given)
+    renewed = after.where("document_items is not null")
+    gone = given.where("op = 'delete'").select(F.col("id").alias("doc_id")).unionByName(renewed.select(F.col("id").alias("doc_id")))
+    left = lines.join(gone, "doc_id", "left_anti")
+    new = validate.flatten_lines(renewed).withColumn("item_id", F.col("item_id").cast(lines.schema["item_id"].dataType))
+    return after.drop("document_items").withColumnRenamed("id", "doc_id").select(*documents.columns), append_lines(left, new), refused
+
+
 def backfill_lines(listed: DataFrame, details: DataFrame) -> DataFrame:
     """Landed documents, with the detail record's lines where the list has none."""
     found = details.select(F.col("id").alias("_id"), F.col("document_items").alias("_items"))
@@ -96,28 +129,104 @@ def sync_summary(kind: str, documents: DataFrame, lines: DataFrame, deleted: int
     return counts.select(F.lit(kind).alias("type"), "documents_processed", "lines_processed", F.lit(deleted).alias("documents_deleted"), F.lit(seconds).cast("double").alias("seconds"))
 
 
+def store_name(account: str) -> str:
+    """Folder name of an account's store: characters other than ASCII letters, digits, _ and - become _."""
+    return re.sub("[^a-zA-Z0-9_-]", "_", account)
+
+
+_STORED = {"documents": schemas.DOCUMENTS, "lines": schemas.STORED_LINES}
+
+
 @dataclass(frozen=True)
 class Snapshots:
-    """Both tables in numbered version folders; the newest one in which both are complete counts."""
+    """Header and line tables in parts by a hash of doc_id, and the state of the last sync, in numbered versions.
+
+    A version's folder holds the parts that it changed, and a manifest that names the folder of every part and the
+    state.  The manifest is written last: the newest version with a complete one counts, so a job that dies in between
+    leaves all that was there.  Folders to which neither the newest nor the version before it refers are retired.
+    """
 
     spark: SparkSession
     root: str
+    parts: int = 32
 
-    def _numbers(self, inside: str) -> set[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/v-*{inside}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return {int(next(p for p in reversed(f.getPath().toString().split("/")) if p.startswith("v-"))[2:]) for f in found}
-
-    def version(self) -> str | None:
-        whole = self._numbers("/documents/_SUCCESS") & self._numbers("/lines/_SUCCESS")
-        return f"v-{max(whole):012d}" if whole else None
+    @classmethod
+    def of_account(cls, spark: SparkSession, root: str, account: str, parts: int = 32) -> Snapshots:
+        return cls(spark, f"{root}/{store_name(account)}", parts)
 
-    def read(self) -> tuple[DataFrame, DataFrame] | None:
-        name = self.version()
-        return name and tuple(self.spark.read.parquet(f"{self.root}/{name}/{t}") for t in ("documents", "lines"))
-
-    def swap(self, documents: DataFrame, lines: DataFrame) -> str:
-        name = f"v-{max(self._numbers(''), default=0) + 1:012d}"  # a broken version keeps its number
-        documents.write.parquet(f"{self.root}/{name}/documents")
-        lines.write.parquet(f"{self.root}/{name}/lines")
-        return name
+    def _globbed(self, inside: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{inside}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        return [f.getPath().toString() for f in found]
+
+    def _versions(self, inside: str = "") -> list[int]:
+        names = (next(p for p in reversed(f.split("/")) if p.startswith("v-")) for f in self._globbed(f"v-*{inside}"))
+        return sorted(int(n[2:]) for n in names)
+
+    def _folder(self, number: int) -> str:
+        return f"{self.root}/v-{number:012d}"
+
+    def version(self) -> int | None:
+        return max(self._versions("/manifest/_SUCCESS"), default=None)
+
+    def _manifest(self, number: int | None) -> tuple[dict, dict | None]:
+        """Version of each stored part (table, part), and the state."""
+        if number is None:
+            if self._globbed("v-*/manifest"):
+                raise ValueError(f"{self.root} has versions, but none is complete: restore one or name another folder")
+            return {}, None
+        rows = self.spark.read.schema(schemas.MANIFEST).json(f"{self._folder(number)}/manifest").collect()  # two rows a part at most
+        state = next((r.state.asDict() for r in rows if r.state), None)
+        return {(r.table, r.part): r.version for r in rows if r.table}, state
+
+    def part_of(self, doc_id: str = "doc_id") -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
+
+    def state(self) -> dict | None:
+        return self._manifest(self.version())[1]
+
+    def state_table(self) -> DataFrame:
+        """The state as a table of one row, or of none before the first sync."""
+        state = self.state()
+        return self.spark.createDataFrame([state] if state else [], schemas.STATE)
+
+    def _tables(self, held: dict) -> tuple[DataFrame, DataFrame]:
+        out = []
+        for table, schema in _STORED.items():
+            paths = [f"{self._folder(v)}/{table}/part={p}" for (t, p), v in sorted(held.items()) if t == table]
+            out.append(self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema))
+        return tuple(out)
+
+    def read(self, only: list[int] | None = None) -> tuple[DataFrame, DataFrame] | None:
+        """Both tables, or those of their rows that stand in some parts; None if nothing was ever stored."""
+        number = self.version()
+        held, _ = self._manifest(number)
+        return None if number is None else self._tables({k: v for k, v in held.items() if only is None or k[1] in only})
+
+    def swap(self, documents: DataFrame, lines: DataFrame, touched: list[int] | None = None, state: Callable[[int, int], dict] | None = None) -> int:
+        """Stores what the touched parts (all, if None) now hold, as a new version; other parts stay as they are.
+
+        `state` makes the state from the number of headers and lines that are then stored; without it the state stays.
+        """
+        held, before = self._manifest(self.version())
+        number = max(self._versions(), default=0) + 1  # a broken version keeps its number
+        for table, rows in (("documents", documents), ("lines", lines)):
+            names = [f.split()[0] for f in _STORED[table].split(", ")]
+            rows.select(*names, self.part_of().alias("part")).repartition("part").write.partitionBy("part").parquet(f"{self._folder(number)}/{table}")
+        held = {k: v for k, v in held.items() if touched is not None and k[1] not in touched}
+        for table in _STORED:
+            held |= {(table, int(f.rpartition("=")[2])): number for f in self._globbed(f"v-{number:012d}/{table}/part=*")}
+        after = state(*(t.count() for t in self._tables(held))) if state else before
+        rows = [(t, p, v, None) for (t, p), v in held.items()] + [(None, None, None, after)]
+        self.spark.createDataFrame(rows, schemas.MANIFEST).coalesce(1).write.json(f"{self._folder(number)}/manifest")
+        self.retire()
+        return number
+
+    def retire(self, keep: int = 2) -> None:
+        """Deletes the folders to which none of the newest `keep` versions refers."""
+        newest = self._versions("/manifest/_SUCCESS")[-keep:]
+        wanted = {*newest, *(v for n in newest for v in self._manifest(n)[0].values())}
+        for number in self._versions():
+            if number not in wanted and number < newest[-1]:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(number))
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

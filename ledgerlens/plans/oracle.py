@@ -166,8 +166,8 @@ def oracle_sql() -> dict[str, str]:
         "get_customers_by_id": "select * from accounts where cast(substr(id, 2) as bigint) % 50 = 0",
         "get_categories_by_id": "select * from categories where id in (select category_id from items where id % 50 = 0)",
         "get_locations_by_id": "select * from locations where id % 50 = 0",
-        "valid_context": "select doc_id, context_id, case when context_id not in (2, 8, 10) then 'context_id is not valid' end as reason from headers",
-        "validate_customers": "select id, case when context_id not in (4, 5, 11) then 'context_id is not valid' end as reason from accounts",
+        "valid_context": "select doc_id, case when doc_number % 7 = 0 then null when doc_number % 11 = 0 then 'x' when doc_number % 13 = 0 then '8' else cast(context_id as varchar) end as context_id, case when doc_number % 7 = 0 then 'context_id is required' when doc_number % 11 = 0 then 'context_id is not a number' when doc_number % 13 = 0 then 'context_id is not valid' end as reason from headers",
+        "validate_customers": "select id, case when n % 7 = 0 then 'context_id is required' when n % 11 = 0 then 'context_id is not a number' when n % 13 = 0 then 'context_id is not valid' end as reason from (select id, cast(substr(id, 2) as bigint) as n from accounts)",
         # joins
         "join_lines_documents": f"select {_LINE}, context_id, doc_number, issue_date, customer_id from sales",
         "join_item_dim": "select l.item_id, l.n, i.name as item_name, coalesce(i.quantity, 0) as stock, nullif(i.cost, 0) as unit_cost, case when i.price > 0 then i.price else 0 end as list_price from (select item_id, count(*) as n from item_lines group by item_id) l left join items i on i.id = l.item_id",
@@ -227,6 +227,28 @@ def oracle_sql() -> dict[str, str]:
         "normalize_documents": f"select {_HEAD} from headers",
         "flatten_lines": "select cast(item_id as varchar) as item_id, doc_id, cast(quantity as double) as quantity, cast(price as double) as price from item_lines where cast(quantity as integer) % 5 <> 0",
         "validate_documents": "select h.doc_id, case when h.doc_number % 13 = 0 then 'customer_id is required' when h.doc_number % 17 = 0 then 'issue_date is required' when l.doc_id is null then 'at least one line is required' end as reason from headers h left join (select distinct doc_id from item_lines) l on l.doc_id = h.doc_id",
+        "sales_by_month_sorted": _MONTH_CTE + "select item_id, row_number() over (partition by item_id order by month) as nth, month, total_quantity from months",
+        "price_distribution_sorted": _PRICE_CTE + "select item_id, row_number() over (partition by item_id order by price) as nth, cast(price as double) as price, total_quantity from prices",
+        "sync_delta_documents": "select doc_id, context_id, doc_number, issue_date, case when doc_number % 3 = 0 then 'C-new' else customer_id end as customer_id, case when doc_number % 3 = 0 or doc_number % 5 = 0 then 2000001000 else modified end as modified from headers where doc_number in (select l_orderkey from priced)",
+        "sync_delta_lines": "select cast(item_id as varchar) as item_id, doc_id, cast(quantity as double) * case when cast(substr(doc_id, 2) as bigint) % 3 = 0 then 2 else 1 end as quantity, cast(price as double) as price from item_lines",
+        "sync_delta_state": """, d as (select doc_number as n, count(*) as docs from headers where doc_number in (select l_orderkey from priced) group by doc_number),
+l as (select cast(substr(doc_id, 2) as bigint) as n, count(*) as lines from item_lines group by n), b as (select * from d join l using (n))
+select 'full' as type, cast(sum(docs) as bigint) as documents_processed, cast(sum(lines) as bigint) as lines_processed, 0 as documents_deleted, 2000000000::bigint as "lastSync", 2000000000::bigint as "lastFullSync", cast(sum(docs) as bigint) as "documentCount", cast(sum(lines) as bigint) as "itemDocumentCount", 'main shop' as "accountName", 1 as "schemaVersion" from b where n % 5 <> 0
+union all
+select 'delta', cast(sum(docs) filter (n % 5 = 0 or n % 3 = 0) as bigint), cast(sum(lines) filter (n % 5 = 0 or n % 3 = 0) as bigint), 0, 2000002000, 2000000000, cast(sum(docs) as bigint), cast(sum(lines) as bigint), 'main shop', 1 from b""",
+        "account_stores": "select id, regexp_replace(name, '[^a-zA-Z0-9_-]', '_', 'g') as store from accounts",
+        "period_lists": "select id, cast(2 as bigint) as count, cast(cast(quantity as integer) as varchar) || '/' || cast(id as varchar) as numbers from items",
+        "customer_feed": """select id, context_id, case when id like '%3' then 'renamed' else name end as name, cast(null as varchar) as reason from accounts where id not like '%9'
+union all select 'N' || id, case when n % 60 = 20 then 4 when n % 60 = 40 then 8 end, name, case when n % 60 = 20 then 'context_id is not valid' when n % 60 = 0 then 'context_id is required' end
+from (select *, cast(substr(id, 2) as bigint) as n from accounts where id like 'C%') where n % 20 = 0""",
+        "document_feed": """, q as (select doc_id, count(*) as n_lines, cast(sum(quantity) as double) as quantity from item_lines group by doc_id),
+h as (select h.doc_id, h.doc_number as n, h.customer_id, h.issue_date, coalesce(n_lines, 0) as n_lines, coalesce(quantity, 0) as quantity from headers h left join q using (doc_id)),
+made as (select *, case when n % 30 = 0 then 'customer_id is required' when n % 40 = 0 or n_lines = 0 then 'at least one line is required' end as reason from h where n % 10 = 0)
+select doc_id, case when n % 10 = 1 then 'C1' else customer_id end as customer_id, issue_date, n_lines, quantity * case when n % 10 = 1 then 2 else 1 end as quantity, cast(null as varchar) as reason from h where n % 10 <> 2
+union all
+select 'N' || doc_id, case when n % 30 <> 0 then customer_id end, issue_date, case when n % 40 = 0 then 0 else n_lines end, case when reason is null then quantity else 0 end, reason from made""",
+        "report_item_sales_fresh": _PERIOD_CTE + f", latest as (select item_id, {_LATEST} from sales group by item_id) select a.item_id, a.item_name, coalesce(i.quantity, 0) as stock, latest_estimate, latest_purchase, " + ", ".join(f"coalesce(sold_{n}, 0) as sold_{n}, coalesce(revenue_{n}, 0) as revenue_{n}" for n, _ in MONTHS if n != 6) + ", '2001-07-31T23:59:00.000Z' as last_sync, false as stale from all_items a join items i on i.id = a.item_id left join latest using (item_id) left join totals using (item_id)",
+        "report_item_sales_of_items": _PERIOD_CTE + f", latest as (select item_id, {_LATEST} from sales group by item_id) select a.item_id, a.item_name, coalesce(i.quantity, 0) as stock, latest_estimate, latest_purchase, " + ", ".join(f"coalesce(sold_{n}, 0) as sold_{n}, coalesce(revenue_{n}, 0) as revenue_{n}" for n, _ in MONTHS) + " from all_items a join items i on i.id = a.item_id left join latest using (item_id) left join totals using (item_id) where a.item_id % 50 = 0",
         "sync_delta": f"select {_HEAD} from headers",
         "freshness": "select count(*) as documentCount, max(modified) < 996624000 - 3600 as stale from headers",
         "table_status": "select '2001-07-31T23:00:00.000Z' as last_sync, count(*) as documents, 'FRESH' as status from headers",

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import scratch, schemas
 from ledgerlens.functions import stats
 from ledgerlens.functions.numeric import js_round, trailing_months
+from ledgerlens.functions.text import int_list, periods_of, safe_name
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import facts, lookups, matching, tables, validate
 from ledgerlens.operators import statistics as st
@@ -142,14 +143,22 @@ def get_locations_by_id(spark, t):
     return lookups.by_keys(t.locations, t.locations.where("id % 50 = 0"), "id")
 
 
+def _spoilt(rows: DataFrame, number, foreign: int) -> DataFrame:
+    context = F.when(number % 7 == 0, F.lit(None)).when(number % 11 == 0, "x").when(number % 13 == 0, str(foreign)).otherwise(F.col("context_id").cast("string"))
+    return rows.withColumn("context_id", context)
+
+
 @_query
 def valid_context(spark, t):
-    return t.documents.select("doc_id", "context_id", validate.context_reason(F.col("context_id"), accounts=True).alias("reason"))
+    """Context ids of documents, some of them missing, no numbers or those of accounts."""
+    rows = _spoilt(t.documents, F.col("doc_number"), 8)
+    return rows.select("doc_id", "context_id", validate.context_reason(F.col("context_id")).alias("reason"))
 
 
 @_query
 def validate_customers(spark, t):
-    return t.customers.select("id", validate.context_reason(F.col("context_id")).alias("reason"))
+    """The same of accounts, some with those of documents."""
+    return _spoilt(t.customers, _number("id"), 5).select("id", validate.context_reason(F.col("context_id"), accounts=True).alias("reason"))
 
 
 # -- joins -----------------------------------------------------------------------------------------------------
@@ -218,6 +227,20 @@ def sales_by_customer(spark, t):
     return agg.sales_by_customer(_sales(t), YEAR)
 
 
+@_query
+def sales_by_month_sorted(spark, t):
+    """Months in order, as (item_id, nth, month)."""
+    rows = agg.in_order(agg.sales_by_month(_sales(t), trailing_months(AS_OF, 6)), "month")
+    return rows.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("month")).cast("long").alias("nth"), "month", "total_quantity")
+
+
+@_query
+def price_distribution_sorted(spark, t):
+    """Prices in ascending order, as (item_id, nth, price)."""
+    rows = agg.in_order(agg.price_distribution(_sales(t), YEAR), "price")
+    return rows.select("item_id", F.row_number().over(Window.partitionBy("item_id").orderBy("price")).cast("long").alias("nth"), "price", "total_quantity")
+
+
 @_query
 def sales_by_month(spark, t):
     return agg.sales_by_month(_sales(t), trailing_months(AS_OF, 6))
@@ -531,6 +554,86 @@ def stream_ingest_documents(spark, t):
     return store.read()[0]
 
 
+SYNCED = 2_000_000_000  # of the first sync; what has changed since was changed 1,000 s later
+
+
+def _synced(spark: SparkSession, t: SalesTables) -> tuple[tables.Snapshots, list[DataFrame]]:
+    """A store after a full sync and a delta sync from the same listing with changes, and the summaries of both.
+
+    In the second listing one document in five is new and one in three is changed with its lines; the others
+    have another customer but an old date, so a delta sync must not take them.
+    """
+    n = F.col("document_number")
+    landed = _landed(t)
+    at = lambda seconds: F.date_format(F.timestamp_seconds(F.lit(seconds)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    first = landed.where(n % 5 != 0)
+    doubled = F.transform("document_items", lambda x: x.withField("quantity", x["quantity"] * 2))
+    changed = (n % 5 == 0) | (n % 3 == 0)
+    second = landed.withColumns({"modified": F.when(changed, at(SYNCED + 1000)).otherwise(F.col("modified")), "customer_id": F.when(n % 3 == 0, "C-new").when(n % 5 == 0, F.col("customer_id")).otherwise("C-never"), "document_items": F.when(n % 3 == 0, doubled).otherwise(F.col("document_items"))})
+    store = tables.Snapshots.of_account(spark, scratch.folder(spark), "main shop")
+    summaries = []
+    for rows, now in ((first, SYNCED), (second, SYNCED + 2000)):
+        done, _ = ingest.sync(store, scratch.written(rows), "main shop", now)
+        summaries.append(done.drop("seconds").join(store.state_table()))  # one row each
+    return store, summaries
+
+
+@_query
+def sync_delta_documents(spark, t):
+    return _synced(spark, t)[0].read()[0]
+
+
+@_query
+def sync_delta_lines(spark, t):
+    return _synced(spark, t)[0].read()[1]
+
+
+@_query
+def sync_delta_state(spark, t):
+    """Summary and stored state of a first sync (full) and of the next (delta)."""
+    _, (first, second) = _synced(spark, t)
+    return first.unionByName(second)
+
+
+@_query
+def account_stores(spark, t):
+    return t.customers.select("id", safe_name(F.col("name")).alias("store"))
+
+
+@_query
+def period_lists(spark, t):
+    """Lists of numbers in texts of which some parts are none."""
+    text = F.concat_ws(",", F.col("quantity").cast("int").cast("string"), F.concat(F.lit(" "), F.col("id"), F.lit("m")), F.lit("x"), "name")
+    numbers = int_list(text)
+    return t.items.select("id", F.size(numbers).cast("long").alias("count"), F.array_join(numbers.cast("array<string>"), "/").alias("numbers"))
+
+
+@_query
+def customer_feed(spark, t):
+    """Customers after a feed of creates, updates and deletions, and the creates that are refused."""
+    rows, n = t.customers.select("id", "context_id", "name"), _number("id")
+    create = rows.where((n % 20 == 0) & F.col("id").like("C%")).select(F.concat(F.lit("N"), "id").alias("id"), F.when(n % 60 == 20, 4).when(n % 60 == 40, 8).alias("context_id"), "name", F.lit("create").alias("op"), F.lit(1).alias("seq"))
+    change = lambda like, name, op: rows.where(f"id like '%{like}'").select("id", F.lit(None).cast("int").alias("context_id"), F.lit(name).cast("string").alias("name"), F.lit(op).alias("op"), F.lit(2).alias("seq"))
+    held, refused = tables.apply_customer_feed(rows, create.unionByName(change("3", "renamed", "update")).unionByName(change("9", None, "delete")))
+    return held.withColumn("reason", F.lit(None).cast("string")).unionByName(refused.select("id", "context_id", "name", "reason"))
+
+
+@_query
+def document_feed(spark, t):
+    """Documents with their lines after a feed whose creates nest lines, and the creates that are refused."""
+    n, landed = F.col("document_number"), _landed(t)
+    named = {"op": F.lit("create"), "seq": F.lit(1), "id": F.concat(F.lit("N"), "id"), "customer_id": F.when(n % 30 != 0, F.col("customer_id")), "document_items": F.when(n % 40 != 0, F.col("document_items"))}
+    create = landed.where(n % 10 == 0).withColumns(named)
+    blank = {c: F.lit(None).cast(landed.schema[c].dataType) for c in landed.columns if c != "id"}
+    doubled = F.transform("document_items", lambda x: x.withField("quantity", x["quantity"] * 2))
+    update = landed.where(n % 10 == 1).withColumns(blank | {"op": F.lit("update"), "seq": F.lit(2), "customer_id": F.lit("C1"), "document_items": doubled})
+    delete = landed.where(n % 10 == 2).withColumns(blank | {"op": F.lit("delete"), "seq": F.lit(3)})
+    held, lines, refused = tables.apply_document_feed(t.documents, t.lines, create.unionByName(update).unionByName(delete))
+    sums = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("quantity").cast("double").alias("quantity"))
+    applied = held.join(sums, "doc_id", "left").select("doc_id", "customer_id", "issue_date", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.lit(None).cast("string").alias("reason"))
+    return applied.unionByName(refused.select(F.col("id").alias("doc_id"), "customer_id", validate.day_of(F.col("issue_date")).alias("issue_date"), F.coalesce(F.size("document_items"), F.lit(0)).cast("long").alias("n_lines"), F.lit(0.0).alias("quantity"), "reason"))
+
+
 def _feed(rows: DataFrame, key, fields: dict) -> DataFrame:
     """Updates of the keys that are 1 modulo 4 (two in a row), deletions of those that are 0 modulo 9."""
     blank = {c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns if c != "id"}
@@ -634,6 +737,23 @@ def report_item_sales(spark, t):
     return reports.item_sales(_sales(t), t.items, AS_OF)
 
 
+@_query
+def report_item_sales_fresh(spark, t):
+    """Item sales of the periods that an option names, over a store that is synced first because it is stale, with its freshness."""
+    store = tables.Snapshots.of_account(spark, scratch.folder(spark), "main")
+    if ingest.needs_sync(store.state(), "main", NOW):
+        ingest.sync(store, _landed(t), "main", NOW - 60)
+    documents, lines = store.read()
+    sales = facts.sales_lines(lines.withColumn("item_id", F.col("item_id").cast("long")), documents)
+    return reports.item_sales_with_freshness(sales, t.items, AS_OF, store.state(), NOW, periods_of("12, 3,5,x"))
+
+
+@_query
+def report_item_sales_of_items(spark, t):
+    """The same report for the items that are asked for."""
+    return reports.item_sales(*reports.of_items(_sales(t), t.items, t.items.where("id % 50 = 0")), AS_OF)
+
+
 @_query
 def report_item_sales_periods(spark, t):
     return reports.item_sales_periods(_sales(t), AS_OF)

@@ -5,7 +5,7 @@ Every report starts from the items, so an item without sales has a row of zeros
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +28,32 @@ def _or(column: str, default) -> F.Column:
     return F.coalesce(column, F.lit(default)).alias(column)
 
 
-def item_sales(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
-    totals = agg.period_totals(sales, as_of)
-    rows = _for_all(items, agg.latest_dates(sales), totals)
-    sums = [_or(c, 0.0) for c in totals.columns if c != "item_id"]
-    return facts.with_item(rows.drop("item_name"), items).select("item_id", "item_name", "stock", "latest_estimate", "latest_purchase", *sums)
+def of_items(sales: DataFrame, items: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sales and items of the wanted ids (column id) alone: every report takes them as it takes whole tables."""
+    return sales.join(wanted.select(F.col("id").alias("item_id")), "item_id", "left_semi"), items.join(wanted.select("id"), "id", "left_semi")
+
+
+def of_item(sales: DataFrame, items: DataFrame, item_id) -> tuple[DataFrame, DataFrame]:
+    """Sales and items of one id; the filter reaches the scans."""
+    return sales.where(F.col("item_id") == item_id), items.where(F.col("id") == item_id)
+
+
+def item_sales(sales: DataFrame, items: DataFrame, as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
+    last = agg.latest_dates(sales)
+    rows = facts.with_item(_for_all(items, last).drop("item_name"), items)
+    columns = ["item_id", "item_name", "stock", "latest_estimate", "latest_purchase"]
+    if not months:
+        return rows.select(*columns)
+    totals = agg.period_totals(sales, as_of, months)
+    return rows.join(totals, "item_id", "left").select(*columns, *[_or(c, 0.0) for c in totals.columns if c != "item_id"])
+
+
+def item_sales_with_freshness(sales: DataFrame, items: DataFrame, as_of: date, state: dict | None, now: int, months: tuple[int, ...] = (3, 6, 12), threshold: int = 3600) -> DataFrame:
+    """The item sales with the time of the store's last sync (unknown before the first) and whether that is too long ago."""
+    last = None if state is None else datetime.fromtimestamp(state["lastSync"], UTC)
+    said = "unknown" if last is None else f"{last:%Y-%m-%dT%H:%M:%S}.000Z"
+    stale = state is None or state["lastSync"] < now - threshold
+    return item_sales(sales, items, as_of, months).withColumns({"last_sync": F.lit(said), "stale": F.lit(stale)})
 
 
 def item_sales_periods(sales: DataFrame, as_of: date) -> DataFrame:
@@ -97,7 +118,7 @@ def pricing(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
 
 def pricing_distribution(sales: DataFrame, as_of: date) -> DataFrame:
     rows = agg.share_of_total(agg.price_distribution(sales, trailing_months(as_of, 12)), F.col("total_quantity"), 0.0)
-    return rows.select("item_id", js_round(F.col("price"), 2).alias("price"), F.col("total_quantity").alias("quantity"), js_round(F.col("total_revenue"), 2).alias("revenue"), js_round(F.col("share"), 1).alias("frequency_pct"))
+    return agg.in_order(rows, "price").select("item_id", js_round(F.col("price"), 2).alias("price"), F.col("total_quantity").alias("quantity"), js_round(F.col("total_revenue"), 2).alias("revenue"), js_round(F.col("share"), 1).alias("frequency_pct"))
 
 
 def customer_shares(sales: DataFrame, as_of: date) -> DataFrame:

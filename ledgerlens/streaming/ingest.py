@@ -1,41 +1,94 @@
-"""Continuous ingestion of landed document pages into snapshot tables."""
+"""Syncs of landed documents into an account's store, in batch and as a stream."""
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens import schemas
-from ledgerlens.operators import tables, validate
+from ledgerlens.operators import lookups, tables, validate
+from ledgerlens.scratch import written
+
+
+@dataclass(frozen=True)
+class Merged:
+    """What a merge has done: taken documents and lines, and the refused documents with their reasons."""
+
+    documents: int
+    lines: int
+    refused: DataFrame
 
 
-def merge(store: tables.Snapshots, landed: DataFrame) -> DataFrame:
-    """Takes landed documents into the store; returns the refused ones.
+def merge(store: tables.Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False) -> Merged:
+    """Takes landed documents into the store, and advances its state.
 
     Of each document the latest version counts, and it replaces a stored one unless that is newer, with all its
-    lines, so a batch that is run again changes nothing.
+    lines, so a batch that is run again changes nothing but the state.  Only parts that hold landed documents are read
+    and written again.  Documents that the source no longer lists stay.
     """
-    valid, refused = validate.split(landed, validate.document_reason())
-    last = tables.latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))), "id", "seconds")
+    marked = written(landed.withColumn("reason", validate.document_reason()))
+    valid, refused = marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+    last = written(tables.latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))), "id", "seconds"))
     headers, lines = validate.normalise_documents(last), validate.flatten_lines(last)
-    held = store.read()
+    taken = headers.agg(F.count("*")).first()[0], lines.agg(F.count("*")).first()[0]
+    touched = [r[0] for r in headers.select(store.part_of()).distinct().collect()]  # as many as the store has parts, at most
+    held = store.read(touched)
     if held:
         stored = held[0].select("doc_id", F.col("modified").alias("stored"))
         headers = headers.join(stored, "doc_id", "left").where("stored is null or modified >= stored").drop("stored")
         lines = tables.replace_lines(held[1], lines.join(headers, "doc_id", "left_semi"), headers)
-        headers = tables.upsert(held[0], headers)
-    store.swap(headers, lines)
-    return refused
+        headers = held[0].join(headers, "doc_id", "left_anti").unionByName(headers)
+    before, now = store.state(), int(time.time()) if now is None else now
+    full = full or before is None
+
+    def state(documents: int, lines: int) -> dict:
+        # a full sync counts what it took, another one what the tables hold
+        counts = taken if full else (documents, lines)
+        return {"lastSync": now, "lastFullSync": now if full else before["lastFullSync"], "documentCount": counts[0], "itemDocumentCount": counts[1], "accountName": account, "schemaVersion": 1}
+
+    store.swap(headers, lines, touched, state)
+    return Merged(*taken, refused)
+
+
+def kind_of(state: dict | None, account: str, forced: bool = False) -> str:
+    """full for the first sync, for a store of another account and on demand, else delta."""
+    return "full" if forced or state is None or state["accountName"] != account else "delta"
 
 
-def ingest(spark: SparkSession, landing: str, store: tables.Snapshots, checkpoint: str, quarantine: str) -> StreamingQuery:
-    """Starts a stream that takes all pages now in `landing` into the store and then ends; refused documents are appended to `quarantine`."""
+def needs_sync(state: dict | None, account: str, now: int, threshold: int = 3600, forced: bool = False) -> bool:
+    """Whether a report has to sync first: on demand, before the first sync, for another account, or if the last sync is longer ago than the threshold."""
+    return kind_of(state, account, forced) == "full" or state["lastSync"] < now - threshold
+
+
+def sync(store: tables.Snapshots, landed: DataFrame, account: str, now: int, forced: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A full or delta sync, as the store's state asks for: its summary row and the refused documents.
+
+    A delta sync takes the documents modified after the last sync.
+    """
+    began = time.monotonic()
+    state = store.state()
+    kind = kind_of(state, account, forced)
+    if kind == "delta":
+        recent = lookups.changed_since(landed.withColumn("_at", validate.seconds_of(F.col("modified"))), state["lastSync"], "_at")
+        landed = recent.drop("_at")
+    done = merge(store, landed, account, now, kind == "full")
+    row = (kind, done.documents, done.lines, 0, time.monotonic() - began)
+    return store.spark.createDataFrame([row], "type string, documents_processed long, lines_processed long, documents_deleted int, seconds double"), done.refused
+
+
+def ingest(spark: SparkSession, landing: str, store: tables.Snapshots, checkpoint: str, quarantine: str, account: str = "main") -> StreamingQuery:
+    """Starts a stream that takes all pages now in `landing` into the store and then ends; refused documents go to `quarantine`.
+
+    The stream's checkpoint says which pages were taken; the store's state is advanced with every batch.
+    """
     pages = spark.readStream.schema(schemas.DOCUMENT_PAGE).json(landing)
     documents = pages.select(F.explode(F.flatten("documents")).alias("row")).select("row.*")
 
     def batch(landed: DataFrame, number: int) -> None:
-        refused = merge(store, landed)
-        refused.write.mode("overwrite").json(f"{quarantine}/batch={number}")
+        merge(store, landed, account).refused.write.mode("overwrite").json(f"{quarantine}/batch={number}")
 
     return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
