@@ -6,7 +6,8 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens import scratch
+from ledgerlens import schemas, scratch
+from ledgerlens.functions.text import int_list, periods_of, safe_name
 from ledgerlens.operators import lookups, tables, validate
 from ledgerlens.plans import oracle, registry
 from ledgerlens.sources import landing
@@ -116,16 +117,78 @@ def test_late_versions_do_not_replace_newer_ones(spark, tmp_path):
     assert held.first().customer_id == "new" and lines.first().item_id == "2"
 
 
+def stored(spark, *ids):
+    documents = spark.createDataFrame([(i, 5, 1, None, "c", 10) for i in ids], schemas.DOCUMENTS)
+    return documents, documents.selectExpr("'1' as item_id", "doc_id", f"cast(2 as {schemas.MONEY}) as quantity", f"cast(3 as {schemas.MONEY}) as price")
+
+
 def test_a_lost_driver_leaves_the_last_whole_version(spark, tmp_path):
     store = tables.Snapshots(spark, str(tmp_path / "s"))
-    assert store.read() is None
-    store.swap(spark.range(1), spark.range(2))
-    second = store.swap(spark.range(3), spark.range(4))
-    shutil.rmtree(tmp_path / "s/current", ignore_errors=True)  # as an overwritten pointer leaves it
+    assert store.read() is None and store.state() is None
+    store.swap(*stored(spark, "a"))
+    second = store.swap(*stored(spark, "a", "b", "c"), state=lambda documents, lines: {"documentCount": documents, "itemDocumentCount": lines})
+    # a job that dies after the data of the next version, and one that dies within its manifest
     spark.range(9).write.parquet(str(tmp_path / "s/v-000000000003/documents"))
-    assert store.version() == second and [t.count() for t in store.read()] == [3, 4]
-    store.swap(spark.range(5), spark.range(6))
-    assert [t.count() for t in store.read()] == [5, 6]
+    spark.range(9).write.parquet(str(tmp_path / "s/v-000000000004/manifest"))
+    (tmp_path / "s/v-000000000004/manifest/_SUCCESS").unlink()
+    assert store.version() == second and [t.count() for t in store.read()] == [3, 3]
+    assert store.state()["documentCount"] == store.state()["itemDocumentCount"] == 3
+    store.swap(*stored(spark, "d"))
+    assert [rows(t, "doc_id") for t in store.read()] == [[("d",)], [("d",)]] and store.state()["documentCount"] == 3
+    store.swap(*stored(spark, "e"))
+    assert store._versions() == [5, 6]  # what nothing refers to any more is retired
+    for n in (5, 6):
+        (tmp_path / f"s/v-{n:012d}/manifest/_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="none is complete"):
+        store.read()
+
+
+def test_a_batch_rewrites_the_parts_it_touches_alone(spark, tmp_path):
+    store = tables.Snapshots(spark, str(tmp_path / "s"), parts=8)
+    ids = [f"d{i}" for i in range(60)]
+    documents, lines = stored(spark, *ids)
+    store.swap(documents, lines)
+    part = {r.doc_id: r.part for r in documents.select("doc_id", store.part_of().alias("part")).collect()}
+    landed = spark.createDataFrame([("d7", 5, 70, "new", "2025-01-02", "2025-01-03T00:00:00Z", [("9", 1.0, 1.0)])], schemas.DOCUMENT_JSON)
+    done = ingest.merge(store, landed, now=50)
+    assert (done.documents, done.lines, done.refused.count()) == (1, 1, 0)
+    assert {p.name for p in (tmp_path / "s/v-000000000002/documents").glob("part=*")} == {f"part={part['d7']}"}
+    held, after = store.read()
+    assert held.count() == 60 and held.where("doc_id = 'd7'").first().customer_id == "new"
+    assert rows(after.where("doc_id = 'd7'"), "item_id") == [("9",)] and after.count() == 60
+    assert store.state() == {"lastSync": 50, "lastFullSync": 50, "documentCount": 1, "itemDocumentCount": 1, "accountName": "main", "schemaVersion": 1}
+
+
+def test_sync_picks_full_or_delta(spark, tmp_path):
+    store = tables.Snapshots.of_account(spark, str(tmp_path), "My shop/1")
+    assert store.root.endswith("/My_shop_1") and ingest.needs_sync(None, "a", 0)
+    docs = landing.read_documents(spark, land(tmp_path))
+    moment = 1735862400  # of the older versions
+    summary, refused = ingest.sync(store, docs.where("modified < '2025-01-04'"), "a", moment)
+    assert tuple(summary.drop("seconds").first()) == ("full", 1, 1, 0) and summary.first().seconds > 0 and refused.count() == 3
+    summary, refused = ingest.sync(store, docs, "a", moment + 9)
+    assert tuple(summary.drop("seconds").first()) == ("delta", 1, 1, 0) and refused.count() == 0
+    assert store.read()[0].first().customer_id == "new"
+    assert (store.state()["lastSync"], store.state()["lastFullSync"]) == (moment + 9, moment)
+    summary, _ = ingest.sync(store, docs, "a", moment + 100_000_000)
+    assert summary.first().type == "delta" and summary.first().documents_processed == 1  # changed after the last sync's moment
+    assert ingest.kind_of(store.state(), "b") == ingest.kind_of(store.state(), "a", True) == "full"
+    now = store.state()["lastSync"]
+    assert not ingest.needs_sync(store.state(), "a", now + 3600) and ingest.needs_sync(store.state(), "a", now + 3601)
+
+
+def test_feeds_refuse_invalid_creates(spark):
+    customers = spark.createDataFrame([("a", 2, "A")], "id string, context_id int, name string")
+    feed = spark.createDataFrame([("create", 1, "b", 8, "B"), ("create", 1, "c", 5, "C"), ("create", 1, "d", None, "D"), ("update", 1, "a", None, "A2")], "op string, seq int, id string, context_id int, name string")
+    held, refused = tables.apply_customer_feed(customers, feed)
+    assert rows(held, "id", "name") == [("a", "A2"), ("b", "B")]
+    assert rows(refused, "id", "reason") == [("c", "context_id is not valid"), ("d", "context_id is required")]
+
+
+def test_lists_and_names_in_texts(spark):
+    held = spark.createDataFrame([("3, 6x,a,,12,99999999999",), ("",), (None,)], "t string").select(int_list(F.col("t")), safe_name(F.col("t"))).collect()
+    assert [r[0] for r in held] == [[3, 6, 12], [], None] and held[0][1] == "3__6x_a__12_99999999999"
+    assert periods_of("12, 3,5,x,6m") == (12, 3, 6)
 
 
 def test_change_records_wrapped_bare_and_broken(spark, tmp_path):
