@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlens.llm.shared import for_python
+
 #: The split of the word tokenizer, with `\s` spelt out as the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+|\n")
@@ -373,6 +375,7 @@ def _mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], mak
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds `ids`: the packed ids (little-endian unsigned 32-bit) of each whole text.  Null: no ids."""
+    for_python(docs.sparkSession)
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def make():
@@ -384,6 +387,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds `text`: the decoded text of packed ids.  Null: the empty text."""
+    for_python(encoded.sparkSession)
     definition = encoded.sparkSession.sparkContext.broadcast(read_definition(path))
 
     def make():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import buckets_for
+from ledgerlens.llm.shared import buckets_for, for_python
 from ledgerlens.scratch import written
 
 #: Bundles that make up one shard, about.
@@ -136,6 +136,7 @@ def _evened(sizes: list[int], placed: list[int], bins: int) -> list[int]:
 
 def assign(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, group_key, shard, slot), one per row of `docs`."""
+    for_python(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),

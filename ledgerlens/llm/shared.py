@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.scratch import written
+from ledgerlens.shipping import ship
 
 
 def buckets_for(rows: int, each: int, least: int = 1) -> int:
@@ -13,6 +14,21 @@ def buckets_for(rows: int, each: int, least: int = 1) -> int:
     return max(least, -(-rows // each))
 
 
+#: Rows that one Arrow batch holds where whole texts go to Python.
+BATCH_ROWS = 1024
+
+
+def for_python(spark: SparkSession) -> None:
+    """Sends the library to the Python workers, and has the session give them at most `BATCH_ROWS` rows at once; a smaller setting stays.
+
+    Spark's own 10,000 rows of whole texts are tens of MB, held several times over by each task and its worker.
+    """
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Each name with underscores put after it until no column has it, in whatever case."""
     taken = {c.lower() for c in columns}
