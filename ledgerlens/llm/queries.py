@@ -39,23 +39,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def warc_records(pages: DataFrame, per_archive: int = 500) -> DataFrame:
-    """Records (archive, offset, payload, page_id) of pages: runs of page ids stand in one archive, one after the other, and pages without an id in their own."""
-    payload = F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
-    rows = pages.select("page_id", F.coalesce(F.concat(F.lit("archive-"), F.floor(F.col("page_id") / per_archive).cast("string")), F.lit("archive-none")).alias("archive"), payload.alias("payload"))
-    before = Window.partitionBy("archive").orderBy("page_id", F.sha2(F.col("payload").cast("binary"), 256)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)))
-
+def warc_replicas(pages: DataFrame, per_archive: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of records made of pages, hashed where they stand (archive, offset, length, body).
 
-def damaged_replica(records: DataFrame) -> DataFrame:
-    """A second copy of the records in which some have a wrong last character and some are lost."""
+    Runs of page ids stand in one archive, one after the other, and pages without an id in their own.  In the second replica
+    some records have a wrong last character, and some are lost, those without an id among them.
+    """
+    payload = F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
     worn = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("left(payload, length(payload) - 1)"), F.lit("?"))).otherwise(F.col("payload"))
-    return records.where("page_id % 101 <> 7").withColumn("payload", worn)
+    archive = F.coalesce(F.concat(F.lit("archive-"), F.floor(F.col("page_id") / per_archive).cast("string")), F.lit("archive-none"))
+    rows = pages.select("page_id", archive.alias("archive"), payload.alias("payload")).withColumn("worn", worn)
+    hashed = lambda c: F.struct(F.octet_length(c).cast("long").alias("length"), F.sha2(F.col(c).cast("binary"), 256).alias("body"))
+    rows = rows.select("page_id", "archive", hashed("payload").alias("first"), hashed("worn").alias("second"))
+    before = Window.partitionBy("archive").orderBy("page_id", "first.body").rowsBetween(Window.unboundedPreceding, -1)
+    rows = written(rows.withColumn("offset", F.coalesce(F.sum("first.length").over(before), F.lit(0))))  # both have the same offsets
+    return rows.select("archive", "offset", "first.*"), rows.where("page_id % 101 <> 7").select("archive", "offset", "second.*")
 
 
 def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = written(warc_records(_table(spark, sf_dir, "pages")))  # both replicas have the same offsets
-    return warc.audit(records, damaged_replica(records))
+    return warc.compared(*warc_replicas(_table(spark, sf_dir, "pages")))
 
 
 OP3_SQL = r"""

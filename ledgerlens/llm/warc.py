@@ -25,11 +25,15 @@ def _joined_hash(parts: Column) -> Column:
     return F.sha2(F.concat_ws(",", parts), 256)
 
 
-def digests(records: DataFrame, archive: str = "archive", offset: str = "offset", payload: str = "payload") -> DataFrame:
-    """Rows (archive, offset, length, digest), one for each place."""
+def bodies(records: DataFrame, archive: str = "archive", offset: str = "offset", payload: str = "payload") -> DataFrame:
+    """Rows (archive, offset, length, body) of records: the payload's length and hash in its place."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
-    each = records.select(F.col(archive).alias("archive"), F.col(offset).cast("long").alias("offset"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("body"))
-    each = each.where("archive is not null and offset is not null")
+    return records.select(F.col(archive).alias("archive"), F.col(offset).cast("long").alias("offset"), F.octet_length(body).cast("long").alias("length"), F.sha2(body, 256).alias("body"))
+
+
+def digests(hashed: DataFrame) -> DataFrame:
+    """Rows (archive, offset, length, digest), one for each place, of hashed records (see `bodies`)."""
+    each = hashed.where("archive is not null and offset is not null")
     placed = each.groupBy("archive", "offset").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list("body")).alias("bodies"))
     digest = F.sha2(F.concat_ws(":", "archive", F.col("offset").cast("string"), F.col("length").cast("string"), F.concat_ws(",", "bodies")), 256)
     return placed.select("archive", "offset", "length", digest.alias("digest"))
@@ -64,6 +68,11 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) ->
 
     `left` and `right` are records (archive, offset, payload); status is missing (in `right`), extra or changed.
     """
+    return compared(bodies(left), bodies(right), range_bytes)
+
+
+def compared(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As `audit`, of records whose payloads are hashed already: payloads need not be moved."""
     sides = [written(digests(x)) for x in (left, right)]
     trees = [tree(leaves_of(x, range_bytes)) for x in sides]
     depth = max(map(len, trees))
