@@ -29,10 +29,14 @@ def of_context(sales: DataFrame, context_id: int, dates: Dates | None = None) ->
     return rows if dates is None else rows.where(dates.holds(F.col("issue_date")))
 
 
+def _last_dates() -> list[Column]:
+    last = lambda c: F.max(F.when(F.col("context_id") == c, F.col("issue_date")))
+    return [last(4).alias("latest_estimate"), last(5).alias("latest_invoice"), last(11).alias("latest_purchase")]
+
+
 def latest_dates(sales: DataFrame) -> DataFrame:
     """Latest estimate, invoice and purchase date of each item, whenever that was."""
-    last = lambda c: F.max(F.when(F.col("context_id") == c, F.col("issue_date")))
-    return sales.groupBy("item_id").agg(last(4).alias("latest_estimate"), last(5).alias("latest_invoice"), last(11).alias("latest_purchase"))
+    return sales.groupBy("item_id").agg(*_last_dates())
 
 
 def price_distribution(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataFrame:
@@ -59,12 +63,19 @@ def sales_by_month(sales: DataFrame, dates: Dates, context_id: int = 5) -> DataF
     return of_context(sales, context_id, dates).groupBy("item_id", month).agg(_total(_sold()).alias("total_quantity"), _total(_amount()).alias("total_revenue"))
 
 
+def _period_sums(as_of: date, months: tuple[int, ...]) -> list[Column]:
+    invoiced = lambda n: (F.col("context_id") == 5) & trailing_months(as_of, n).holds(F.col("issue_date"))
+    return [x for n in months for x in (_total(_sold(), invoiced(n)).alias(f"sold_{n}"), F.abs(_total(_amount(), invoiced(n))).alias(f"revenue_{n}"))]
+
+
 def period_totals(sales: DataFrame, as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
     """Sold and absolute revenue of each item in trailing periods, in one pass over the longest: sold_<n>, revenue_<n>."""
-    windows = {n: trailing_months(as_of, n) for n in months}
-    day = F.col("issue_date")
-    sums = [x for n, w in windows.items() for x in (_total(_sold(), w.holds(day)).alias(f"sold_{n}"), F.abs(_total(_amount(), w.holds(day))).alias(f"revenue_{n}"))]
-    return of_context(sales, 5, windows[max(months)]).groupBy("item_id").agg(*sums)
+    return of_context(sales, 5, trailing_months(as_of, max(months))).groupBy("item_id").agg(*_period_sums(as_of, months))
+
+
+def item_overview(sales: DataFrame, as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
+    """Latest dates and period totals of each item, in one grouping."""
+    return sales.groupBy("item_id").agg(*_last_dates(), *_period_sums(as_of, months))
 
 
 def long_periods(totals: DataFrame, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
@@ -94,9 +105,13 @@ def daily_sales(sales: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     return of_context(sales, 5, trailing_days(as_of, days)).groupBy("item_id", "issue_date").agg(_total(_sold()).alias("sold"))
 
 
+def total_sums() -> list[Column]:
+    return [F.count("*").alias("total_customers"), F.sum("total_quantity").alias("total_quantity"), F.sum(F.abs("total_revenue")).alias("total_revenue")]
+
+
 def item_totals(by_customer: DataFrame) -> DataFrame:
     """Customers, quantity and absolute revenue (by customer) of each item."""
-    return by_customer.groupBy("item_id").agg(F.count("*").alias("total_customers"), F.sum("total_quantity").alias("total_quantity"), F.sum(F.abs("total_revenue")).alias("total_revenue"))
+    return by_customer.groupBy("item_id").agg(*total_sums())
 
 
 def share_of_total(rows: DataFrame, value: Column, empty: float | None) -> DataFrame:
@@ -106,24 +121,39 @@ def share_of_total(rows: DataFrame, value: Column, empty: float | None) -> DataF
     return rows.withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty)))
 
 
+def order_profile(sales: DataFrame, dates: Dates) -> DataFrame:
+    """Invoice lines of each item: the columns of `order_sizes` and of `size_distribution`.
+
+    Lines are reduced to counts of each quantity first, so an item's window holds its distinct quantities alone.
+    """
+    each = of_context(sales, 5, dates).groupBy("item_id", "quantity").agg(F.count("*").alias("n"), F.min("issue_date").alias("first_date"), F.max("issue_date").alias("last_date"))
+    item = Window.partitionBy("item_id")
+    known = F.when(F.col("quantity").isNotNull(), F.col("n"))
+    whole = F.sum(F.expr("cast(quantity * n as decimal(38,4))")).over(item)
+    q, mean = F.col("quantity").cast("double"), F.col("avg_size")
+    rows = each.withColumn("avg_size", ratio(whole, F.sum(known).over(item)))
+    lines = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    return rows.groupBy("item_id").agg(
+        F.sum("n").alias("total_orders"), F.first("avg_size").alias("avg_size"), F.percentile(q, 0.5, F.col("n")).alias("median_size"), F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+        lines(q < mean / 2).alias("small"), lines((q >= mean / 2) & (q <= mean * 2)).alias("medium"), lines(q > mean * 2).alias("large"),
+    )
+
+
 def order_sizes(sales: DataFrame, dates: Dates) -> DataFrame:
     """Invoice lines of each item: number, mean, median, least and largest signed quantity, and first and last date."""
-    q = F.col("quantity").cast("double")
-    return of_context(sales, 5, dates).groupBy("item_id").agg(
-        F.count("*").alias("total_orders"), ratio(F.sum("quantity"), F.count("quantity")).alias("avg_size"), F.median(q).alias("median_size"), F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min("issue_date").alias("first_date"), F.max("issue_date").alias("last_date")
-    )
+    return order_profile(sales, dates).drop("small", "medium", "large")
 
 
-def size_distribution(sales: DataFrame, dates: Dates, sizes: DataFrame) -> DataFrame:
-    """Invoice lines below half, around and above twice the item's mean quantity; `sizes` is the result of order_sizes."""
-    q = F.col("quantity").cast("double")
-    rows = of_context(sales, 5, dates).join(sizes.select("item_id", "avg_size"), "item_id")
-    return rows.groupBy("item_id").agg(
-        F.count_if(q < F.col("avg_size") / 2).alias("small"), F.count_if((q >= F.col("avg_size") / 2) & (q <= F.col("avg_size") * 2)).alias("medium"), F.count_if(q > F.col("avg_size") * 2).alias("large")
-    )
+def size_distribution(sales: DataFrame, dates: Dates) -> DataFrame:
+    """Invoice lines below half, around and above twice the item's mean quantity."""
+    return order_profile(sales, dates).select("item_id", "small", "medium", "large")
+
+
+def segment_counts() -> list[Column]:
+    s = F.col("share")
+    return [F.count_if(s > 10).alias("large"), F.count_if(s.between(3, 10)).alias("medium"), F.count_if(s < 3).alias("small")]
 
 
 def customer_segments(shares: DataFrame) -> DataFrame:
     """Customers with more than 10, 3 to 10 and less than 3 percent of an item's revenue; unknown shares are in none."""
-    s = F.col("share")
-    return shares.groupBy("item_id").agg(F.count_if(s > 10).alias("large"), F.count_if(s.between(3, 10)).alias("medium"), F.count_if(s < 3).alias("small"))
+    return shares.groupBy("item_id").agg(*segment_counts())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,17 +12,25 @@ def sales_lines(lines: DataFrame, documents: DataFrame) -> DataFrame:
     return lines.join(headers, "doc_id").select("item_id", "doc_id", "context_id", "doc_number", "issue_date", "customer_id", "quantity", "price")
 
 
+def _item_facts(quantity: str, cost: str, price: str) -> dict[str, Column]:
+    return {
+        "stock": F.coalesce(F.col(quantity).cast("double"), F.lit(0.0)),
+        "unit_cost": F.nullif(F.col(cost).cast("double"), F.lit(0.0)),
+        "list_price": F.when(F.col(price) > 0, F.col(price).cast("double")).otherwise(0.0),
+    }
+
+
+def catalogue(items: DataFrame) -> DataFrame:
+    """Rows (item_id, item_name, stock, unit_cost, list_price), one per item."""
+    facts = [c.alias(n) for n, c in _item_facts("quantity", "cost", "price").items()]
+    return items.select(F.col("id").alias("item_id"), F.col("name").alias("item_name"), *facts)
+
+
 def with_item(rows: DataFrame, items: DataFrame, item_id: str = "item_id") -> DataFrame:
     """Rows with item_name, stock, cost and list_price; a missing item has no name and cost, and 0 for the others."""
-    facts = items.select(F.col("id").alias("_item"), F.col("name").alias("item_name"), "quantity", "cost", "price")
-    joined = rows.join(facts.withColumnsRenamed({"quantity": "_q", "cost": "_c", "price": "_p"}), F.col(item_id) == F.col("_item"), "left")
-    return joined.withColumns(
-        {
-            "stock": F.coalesce(F.col("_q").cast("double"), F.lit(0.0)),
-            "unit_cost": F.nullif(F.col("_c").cast("double"), F.lit(0.0)),
-            "list_price": F.when(F.col("_p") > 0, F.col("_p").cast("double")).otherwise(0.0),
-        }
-    ).drop("_item", "_q", "_c", "_p")
+    facts = items.select(F.col("id").alias("_item"), F.col("name").alias("item_name"), F.col("quantity").alias("_q"), F.col("cost").alias("_c"), F.col("price").alias("_p"))
+    joined = rows.join(facts, F.col(item_id) == F.col("_item"), "left")
+    return joined.withColumns(_item_facts("_q", "_c", "_p")).drop("_item", "_q", "_c", "_p")
 
 
 def with_customer_name(rows: DataFrame, customers: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
@@ -33,40 +33,47 @@ def trend(quarters: DataFrame) -> DataFrame:
     return found.select("item_id", growth.alias("growth_rate"), "volatility", stats.momentum(F.col("c1"), F.col("cn"), F.col("changes")).alias("momentum"), stats.direction(growth, F.col("volatility")).alias("direction"))
 
 
-def price_stats(distribution: DataFrame) -> DataFrame:
-    """Least and largest price, quantity-weighted mean, median of distinct prices, and their spread around that mean."""
+def price_profile(distribution: DataFrame) -> DataFrame:
+    """The columns of `price_stats` and of `discounts`, in one grouping."""
     item = Window.partitionBy("item_id")
     price = F.col("price").cast("double")
     q, pq = F.sum("exact_quantity").over(item), F.sum(F.expr("cast(price * exact_quantity as decimal(38,8))")).over(item)
-    rows = distribution.withColumn("centre", F.coalesce(F.when(q > 0, ratio(pq, q)), F.lit(0.0)))
+    best = F.max(F.struct("exact_quantity", (-F.col("price")).alias("minus"))).over(item)
+    rows = distribution.withColumns({"centre": F.coalesce(F.when(q > 0, ratio(pq, q)), F.lit(0.0)), "mode_price": -best["minus"]})
+    below = F.col("price") < F.col("mode_price")
+    gap = F.expr("cast((mode_price - price) * exact_quantity as decimal(38,8))")
     found = rows.groupBy("item_id").agg(
         F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.first("centre").alias("avg_price"), F.median(price).alias("median_price"),
         F.when(F.count("*") <= 1, 0.0).otherwise(F.sqrt(F.avg(F.pow(price - F.col("centre"), F.lit(2))))).alias("std_dev"),
+        F.first("mode_price").alias("mode"), F.coalesce(F.sum(F.when(below, F.col("exact_quantity"))), F.lit(0)).alias("low"), F.sum("exact_quantity").alias("total"), F.sum(F.when(below, gap)).alias("gap"),
+    )
+    has = (F.col("low") > 0) & (F.col("total") > 0)
+    pct = ratio(F.col("gap"), F.col("mode").cast("double") * F.col("low").cast("double")) * 100
+    return found.select(
+        "item_id", "min_price", "max_price", "avg_price", "median_price", "std_dev", F.when(F.col("avg_price") == 0, 0.0).otherwise(F.col("std_dev") / F.abs("avg_price") * 100).alias("variance_pct"),
+        F.col("mode").cast("double").alias("mode_price"), has.alias("has_discounts"), F.when(has, ratio(F.col("low"), F.col("total"))).otherwise(0.0).alias("discount_frequency"), F.when(has & (F.col("mode") > 0), pct).alias("avg_discount_pct"),
     )
-    return found.withColumn("variance_pct", F.when(F.col("avg_price") == 0, 0.0).otherwise(F.col("std_dev") / F.abs("avg_price") * 100))
+
+
+def price_stats(distribution: DataFrame) -> DataFrame:
+    """Least and largest price, quantity-weighted mean, median of distinct prices, and their spread around that mean."""
+    return price_profile(distribution).select("item_id", "min_price", "max_price", "avg_price", "median_price", "std_dev", "variance_pct")
 
 
 def discounts(distribution: DataFrame) -> DataFrame:
     """Mode price (most quantity, then the lowest), share of quantity sold below it and the mean discount in percent."""
-    item = Window.partitionBy("item_id")
-    best = F.max(F.struct("exact_quantity", (-F.col("price")).alias("minus"))).over(item)
-    rows = distribution.withColumn("mode_price", -best["minus"])
-    below = F.col("price") < F.col("mode_price")
-    gap = F.expr("cast((mode_price - price) * exact_quantity as decimal(38,8))")
-    found = rows.groupBy("item_id").agg(
-        F.first("mode_price").alias("mode_price"), F.coalesce(F.sum(F.when(below, F.col("exact_quantity"))), F.lit(0)).alias("low"), F.sum("exact_quantity").alias("total"), F.sum(F.when(below, gap)).alias("gap"),
-    )
-    has = (F.col("low") > 0) & (F.col("total") > 0)
-    pct = ratio(F.col("gap"), F.col("mode_price").cast("double") * F.col("low").cast("double")) * 100
-    return found.select("item_id", F.col("mode_price").cast("double").alias("mode_price"), has.alias("has_discounts"), F.when(has, ratio(F.col("low"), F.col("total"))).otherwise(0.0).alias("discount_frequency"), F.when(has & (F.col("mode_price") > 0), pct).alias("avg_discount_pct"))
+    return price_profile(distribution).select("item_id", "mode_price", "has_discounts", "discount_frequency", "avg_discount_pct")
 
 
-def concentration(shares: DataFrame, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
-    """Sum of squared shares, and the sum of the largest shares, of each item (rows with share in percent)."""
+def concentration(shares: DataFrame, *more, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """Sum of squared shares, and the sum of the largest shares, of each item (rows with share in percent).
+
+    `more` are aggregates to be taken in the same grouping.
+    """
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("share"), "customer_id"))
     # an item's unknown shares (its total is 0) make its top shares unknown too, its index stays 0
     sums = [F.sum(F.when(F.col("rank") <= n, F.col("share"))).alias(f"top_{n}_share") for n in tops]
-    return shares.withColumn("rank", rank).groupBy("item_id").agg(stats.herfindahl(F.col("share")).alias("herfindahl"), *sums)
+    return shares.withColumn("rank", rank).groupBy("item_id").agg(stats.herfindahl(F.col("share")).alias("herfindahl"), *sums, *more)
 
 
 def moving_average_forecast(history: DataFrame, value: str, steps: int) -> DataFrame:
@@ -81,10 +88,14 @@ def adjusted(forecast: DataFrame, growth: float | str) -> DataFrame:
     return forecast.withColumn("adjusted", F.col("forecast") * (1 + rate * F.col("step")))
 
 
-def order_frequency(sizes: DataFrame) -> DataFrame:
+def days_between_orders() -> Column:
     """Mean days between successive invoice lines, rounded; 0 for fewer than two lines."""
     gap = F.datediff("last_date", "first_date") / (F.col("total_orders") - 1)
-    return sizes.select("item_id", F.when(F.col("total_orders") < 2, 0.0).otherwise(js_round(gap)).alias("frequency_days"))
+    return F.when(F.col("total_orders") < 2, 0.0).otherwise(js_round(gap))
+
+
+def order_frequency(sizes: DataFrame) -> DataFrame:
+    return sizes.select("item_id", days_between_orders().alias("frequency_days"))
 
 
 def recent_trend(daily: DataFrame) -> DataFrame:

@@ -283,7 +283,7 @@ def order_size_stats(spark, t):
 
 @_query
 def size_distribution(spark, t):
-    return agg.size_distribution(_sales(t), YEAR, agg.order_sizes(_sales(t), YEAR))
+    return agg.size_distribution(_sales(t), YEAR)
 
 
 @_query

@@ -39,13 +39,9 @@ def of_item(sales: DataFrame, items: DataFrame, item_id) -> tuple[DataFrame, Dat
 
 
 def item_sales(sales: DataFrame, items: DataFrame, as_of: date, months: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
-    last = agg.latest_dates(sales)
-    rows = facts.with_item(_for_all(items, last).drop("item_name"), items)
-    columns = ["item_id", "item_name", "stock", "latest_estimate", "latest_purchase"]
-    if not months:
-        return rows.select(*columns)
-    totals = agg.period_totals(sales, as_of, months)
-    return rows.join(totals, "item_id", "left").select(*columns, *[_or(c, 0.0) for c in totals.columns if c != "item_id"])
+    sums = [f"{c}_{n}" for n in months for c in ("sold", "revenue")]
+    rows = facts.catalogue(items).join(agg.item_overview(sales, as_of, months), "item_id", "left")
+    return rows.select("item_id", "item_name", "stock", "latest_estimate", "latest_purchase", *[_or(c, 0.0) for c in sums])
 
 
 def item_sales_with_freshness(sales: DataFrame, items: DataFrame, as_of: date, state: dict | None, now: int, months: tuple[int, ...] = (3, 6, 12), threshold: int = 3600) -> DataFrame:
@@ -74,7 +70,7 @@ def trend_periods(sales: DataFrame, as_of: date) -> DataFrame:
 def stock(sales: DataFrame, items: DataFrame, as_of: date, days: int = 90) -> DataFrame:
     """Cover, status, reorder advice and overstock, unrounded."""
     recent = st.recent_trend(agg.daily_sales(sales, as_of, days))
-    rows = facts.with_item(_for_all(items, recent).drop("item_name"), items)
+    rows = facts.catalogue(items).join(recent, "item_id", "left")
     rows = rows.withColumns({"max_daily": F.coalesce("max_daily", F.lit(0.0)), "avg_daily": F.coalesce("sold", F.lit(0.0)) / days, "recent_trend": F.coalesce("recent_trend", F.lit("stable"))})
     rate = F.nullif(F.col("avg_daily"), F.lit(0.0))
     rows = rows.withColumns({"days_of_stock": F.floor(F.col("stock") / rate), "stock_to_sales": F.col("stock") / (rate * 30)})
@@ -109,7 +105,7 @@ def inventory(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
 
 def pricing(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     prices = agg.price_distribution(sales, trailing_months(as_of, 12))
-    rows = _for_all(items, st.price_stats(prices), st.discounts(prices))
+    rows = _for_all(items, st.price_profile(prices))
     two = [js_round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("min_price", "max_price", "avg_price", "median_price", "std_dev")]
     return rows.select(
         "item_id", "item_name", *two, js_round(F.coalesce("variance_pct", F.lit(0.0)), 1).alias("variance_pct"), _or("has_discounts", False), js_round(F.col("avg_discount_pct"), 1).alias("avg_discount_pct"), js_round(F.coalesce("discount_frequency", F.lit(0.0)), 3).alias("discount_frequency")
@@ -128,7 +124,7 @@ def customer_shares(sales: DataFrame, as_of: date) -> DataFrame:
 
 def customers(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     shares = customer_shares(sales, as_of)
-    rows = _for_all(items, agg.item_totals(shares), st.concentration(shares), agg.customer_segments(shares).withColumnsRenamed({c: f"{c}_customers" for c in ("large", "medium", "small")}))
+    rows = _for_all(items, st.concentration(shares, *agg.total_sums(), *agg.segment_counts()).withColumnsRenamed({c: f"{c}_customers" for c in ("large", "medium", "small")}))
     none = F.col("total_customers").isNull()
     top = lambda n: js_round(F.when(none, 0.0).otherwise(F.col(f"top_{n}_share")), 1).alias(f"top_{n}_share")
     return rows.select(
@@ -174,10 +170,8 @@ def forecast_months(sales: DataFrame, items: DataFrame, as_of: date, count: int
 
 def patterns(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     year = trailing_months(as_of, 12)
-    sizes = agg.order_sizes(sales, year)
-    spread = agg.size_distribution(sales, year, sizes)
-    matched = matching.match_estimates(sales, year)
-    rows = _for_all(items, sizes.select("item_id", "total_orders", "avg_size", "median_size", "min_size", "max_size"), st.order_frequency(sizes), spread, matching.cycle_time(matched), matching.win_rate(matched, as_of))
+    sizes = agg.order_profile(sales, year)
+    rows = _for_all(items, sizes.withColumn("frequency_days", st.days_between_orders()), matching.outcomes(matching.match_estimates(sales, year), as_of))
     zero = [_or(c, 0) for c in ("total_orders", "small", "medium", "large")]
     two = [js_round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("avg_size", "median_size")]
     # without estimates cycle time and win rate are unknown
