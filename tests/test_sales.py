@@ -149,3 +149,46 @@ def test_top_customers_and_names(shop, spark):
     rows = reports.customers_top(shop[0], AS_OF, names).where("item_id = 1").orderBy("rank").collect()
     assert [r.customer_name for r in rows][0] == "Ann" and rows[-1].customer_id == "b"
     assert sum(r.share_pct for r in rows) == pytest.approx(100, abs=0.2)
+
+
+@pytest.mark.parametrize("name", ["item_sales", "trends", "inventory", "pricing", "customers", "forecast", "patterns"])
+def test_a_report_of_chosen_items_equals_its_rows_of_all(spark, shop, name):
+    report = getattr(reports, name)
+    rows = by_item(report(*shop, AS_OF))
+    assert set(rows) == {1, 2, 3}
+    assert by_item(report(*reports.of_item(*shop, 1), AS_OF)) == {1: rows[1]}
+    wanted = spark.createDataFrame([(2,), (3,), (77,)], "id long")
+    assert by_item(report(*reports.of_items(*shop, wanted), AS_OF)) == {k: rows[k] for k in (2, 3)}
+
+
+def test_item_filter_reaches_the_scans(spark, tmp_path):
+    spark.range(9).selectExpr("id as item_id", "'d' as doc_id", "cast(1 as decimal(18,4)) as quantity", "cast(1 as decimal(18,4)) as price").write.parquet(str(tmp_path / "lines"))
+    documents(spark, [("d", 5, 1, "2026-01-15", "c")]).write.parquet(str(tmp_path / "documents"))
+    items = spark.range(9).selectExpr("id", "cast(id as string) as name", "1.0D as quantity", "1.0D as cost", "1.0D as price")
+    sales = facts.sales_lines(spark.read.parquet(str(tmp_path / "lines")), spark.read.parquet(str(tmp_path / "documents")))
+    plan = reports.item_sales(*reports.of_item(sales, items, 4), AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(item_id,4)" in plan
+
+
+def test_sales_of_chosen_periods_with_freshness(shop):
+    found = reports.item_sales_with_freshness(*shop, AS_OF, {"lastSync": 1_000_000}, 1_003_600, (12, 3))
+    assert found.columns == ["item_id", "item_name", "stock", "latest_estimate", "latest_purchase", "sold_12", "revenue_12", "sold_3", "revenue_3", "last_sync", "stale"]
+    row = found.where("item_id = 1").first()
+    assert (row.last_sync, row.stale, row.sold_3) == ("1970-01-12T13:46:40.000Z", False, 8 + 4 + 2.5 + 3)
+    never = reports.item_sales_with_freshness(*shop, AS_OF, None, 0, ()).first()
+    assert (never.last_sync, never.stale) == ("unknown", True)
+
+
+def test_prices_and_months_are_sorted(shop):
+    prices = [(r.item_id, r.price) for r in agg.in_order(agg.price_distribution(shop[0], trailing_months(AS_OF, 12)), "price").collect()]
+    months = [(r.item_id, r.month) for r in agg.in_order(agg.sales_by_month(shop[0], trailing_months(AS_OF, 12)), "month").collect()]
+    assert prices == sorted(prices) and months == sorted(months) and len(months) > 4
+    assert [r.price for r in reports.pricing_distribution(shop[0], AS_OF).where("item_id = 1").collect()] == [20.0, 22.5, 25.0]
+
+
+def test_sizes_are_those_of_single_lines(spark, shop):
+    q = sorted([10, 5, 5, 8, 4, 2.5, -3])
+    mean = sum(q) / len(q)
+    row = agg.order_profile(shop[0], trailing_months(AS_OF, 12)).where("item_id = 1").first()
+    assert (row.total_orders, row.avg_size, row.median_size, row.min_size, row.max_size) == (7, mean, 5.0, -3.0, 10.0)
+    assert (row.small, row.medium, row.large) == (sum(x < mean / 2 for x in q), sum(mean / 2 <= x <= mean * 2 for x in q), sum(x > mean * 2 for x in q))
