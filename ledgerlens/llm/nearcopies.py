@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
-from ledgerlens.llm.shared import BROADCAST_KEYS, buckets_for, connected_components, one_of_each
+from ledgerlens.llm.shared import BROADCAST_KEYS, connected_components, for_python, lean, one_of_each
 from ledgerlens.scratch import written
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -181,7 +181,7 @@ def candidates(texts: DataFrame) -> DataFrame:
     chunks = written(counts.select("key", F.ceil(F.col("count") / BAND_CHUNK).cast("long").alias("chunks")))
     met = written(looked.join(chunks.hint("merge"), "key"))  # merged at every size, as in simhash
     cells = _cells(met.join(texts.select("node", "sketch"), "node"), F.xxhash64("node"), "key")
-    found = cells.select("key", "i", "j", "node", "sketch").mapInArrow(_links_of(_sketches_near), "src long, dst long")
+    found = cells.select("key", "i", "j", "node", "sketch").mapInArrow(lean(_links_of(_sketches_near)), "src long, dst long")
     return connected_components(found).withColumnRenamed("component", "group")
 
 
@@ -208,21 +208,20 @@ def links(docs: DataFrame, marked: DataFrame, text: str = "text", percent: int =
     few = wanted.count() <= BROADCAST_KEYS
     source = docs.select(F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     held = source.join(F.broadcast(wanted) if few else wanted, "h").select("group", "bits", "print", "text")
-    sets = written(held.mapInArrow(_sets, "group long, bits long, print binary, n long, shingles binary"))
+    sets = written(held.mapInArrow(lean(_sets), "group long, bits long, print binary, n long, shingles binary"))
     sizes = sets.groupBy("group").agg(F.sum("n").alias("all"), F.count("*").alias("count")).where("count > 1")
     chunks = written(sizes.select("group", F.ceil(F.col("all") / GROUP_CHUNK).cast("long").alias("chunks")))
     cells = _cells(sets.join(chunks, "group"), F.xxhash64("print"), "group").select("group", "i", "j", "bits", "shingles")
-    return cells.mapInArrow(_links_of(_sets_near(percent)), "src long, dst long").where("src <> dst").distinct()
+    return cells.mapInArrow(lean(_links_of(_sets_near(percent))), "src long, dst long").where("src <> dst").distinct()
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, percent: int, radius: int) -> DataFrame:
+    for_python(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    marked = written(source.mapInArrow(_marks, f"doc_id {kind}, h long, bits long, print binary, sketch binary, bands array<long>"))
+    marked = written(source.mapInArrow(lean(_marks), f"doc_id {kind}, h long, bits long, print binary, sketch binary, bands array<long>"))
     distinct = simhash.firsts_of(marked)
-    # a fingerprint has 66 lookups: dealt so that no task counts more than about a million
-    dealt = distinct.repartition(buckets_for(distinct.count(), 1 << 14), "bits")
-    return simhash.rooted(marked, distinct, simhash.links(dealt, radius).unionByName(links(docs, marked, text, percent)))
+    return simhash.rooted(marked, distinct, simhash.links(distinct, radius).unionByName(links(docs, marked, text, percent)))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = 4) -> DataFrame:

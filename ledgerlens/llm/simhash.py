@@ -6,8 +6,9 @@ into two segments of 32: of fingerprints within five bits at least one segment d
 table of each segment a fingerprint stands under every value of the Hamming ball of radius one around its own,
 so two whose segments differ in up to two bits meet under some value.  What meets is compared in full.
 
-Only distinct fingerprints take part.  A value under which very many meet is dealt into cells, each holding two
-of its chunks, so every pair still meets in some cell but no task holds more than two chunks; in large
+Only distinct fingerprints take part.  The rows of a fingerprint's lookups are shuffled once, by value.  A value under
+which very many may meet is known beforehand from the counts of the segments near it; it is dealt into cells, each
+holding two of its chunks, so every pair still meets in some cell but no task holds more than two chunks; in large
 cells a search from each found member over those not yet found gives a link to the first of each component
 instead of all pairs.
 
@@ -23,16 +24,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.shared import connected_components, one_of_each
+from ledgerlens.llm.shared import BROADCAST_KEYS, buckets_for, connected_components, for_python, lean, one_of_each
 from ledgerlens.scratch import written
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 32), (32, 32))
-#: Rows of one value in one cell's chunk.
+#: Rows of one value in one cell's chunk, about.
 CHUNK = 4096
+#: Fingerprints whose lookups one task makes, about, and rows of cells that are compared at once.
+LOOKED, COMPARED = 1 << 14, 1 << 16
 #: Cells of at most this many rows are compared pair by pair.
 SMALL = 24
 _BLOCK = 1 << 16
@@ -59,6 +62,7 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4) -> DataFrame:
     """Rows (doc_id, h, bits): each document's text hash and its fingerprint as a signed long."""
+    for_python(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
@@ -67,7 +71,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             bits = np.fromiter((fingerprint(t or b"", shingle_words) for t in batch.column(1).cast(pa.binary()).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits.view(np.int64))], names=["doc_id", "h", "bits"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, h long, bits long")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, h long, bits long")
+
+
+def _value(segment: int) -> Column:
+    """The value of one segment, with the segment's number above it."""
+    first, width = SEGMENTS[segment]
+    return F.shiftrightunsigned("bits", first).bitwiseAND((1 << width) - 1).bitwiseOR(F.lit(segment << width).cast("long"))
 
 
 def _lookups(batches):
@@ -124,18 +134,34 @@ def _compared(bits: np.ndarray, starts: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate(roots), np.concatenate(others)
 
 
+def _balls(batches):
+    """Every value and count of `batches` under each value of the ball of radius one around its own."""
+    for batch in batches:
+        value = batch.column(0).to_numpy()
+        for flip in (0, *(1 << i for i in range(max(width for _, width in SEGMENTS)))):
+            yield pa.RecordBatch.from_arrays([pa.array(value ^ np.int64(flip)), batch.column(1)], names=["key", "count"])
+
+
 def _links_of_cells(radius: int):
+    """Links within each stretch of rows (key, cell, bits) that share key and cell; the rows come sorted by both."""
+
     def run(batches):
-        cell, bits = np.zeros((3, 0), np.int64), np.zeros(0, np.uint64)
+        held, rows = [], 0
         for batch in batches:
-            cell = np.concatenate([cell, np.stack([batch.column(c).to_numpy() for c in range(3)])], axis=1)
-            bits = np.concatenate([bits, batch.column(3).to_numpy().view(np.uint64)])
-            new = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-            if len(new):  # the last cell may go on in the next batch
-                yield _batch(*_compared(bits[: new[-1]], np.concatenate([[0], new[:-1]]), radius))
-                cell, bits = cell[:, new[-1] :], bits[new[-1] :]
-        if len(bits):
-            yield _batch(*_compared(bits, np.zeros(1, np.int64), radius))
+            held.append([batch.column(c).to_numpy() for c in range(3)])
+            rows += batch.num_rows
+            if rows >= COMPARED:
+                key, cell, bits = map(np.concatenate, zip(*held))
+                starts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+                held, rows = [[key, cell, bits]], 0
+                if len(starts):  # the last cell may go on in the next batch
+                    last = starts[-1]
+                    yield _batch(*_compared(bits[:last].view(np.uint64), np.concatenate([[0], starts[:-1]]), radius))
+                    held, rows = [[key[last:], cell[last:], bits[last:]]], len(bits) - last
+        if held:
+            key, cell, bits = map(np.concatenate, zip(*held))
+            starts = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+            yield _batch(*_compared(bits.view(np.uint64), np.concatenate([[0], starts]), radius))
 
     return run
 
@@ -144,6 +170,25 @@ def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
 
+def _dealt(looked: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """Rows (key, cell, bits) of lookups (key, bits): each in the cells of its key.
+
+    The members of a key are those of the values near it.  Values with less than a ball's part of a chunk make up one chunk
+    at most, so only the others, of which there are few, need to be counted by key.
+    """
+    ball = 1 + max(width for _, width in SEGMENTS)
+    values = fingerprints.select(F.explode(F.array(_value(0), _value(1))).alias("value")).groupBy("value").agg(F.count("*").alias("count"))
+    many = written(values.where(F.col("count") > CHUNK // ball))
+    chunks = many.mapInArrow(_balls, "key long, count long").groupBy("key").agg((F.ceil(F.sum("count") / CHUNK) + 1).cast("long").alias("chunks"))
+    chunks = written(chunks)
+    few = chunks.count() <= BROADCAST_KEYS
+    held = looked.join(F.broadcast(chunks) if few else chunks.hint("merge"), "key", "left")
+    mine = F.pmod(F.xxhash64("bits"), F.col("chunks"))
+    cell = lambda other: F.shiftleft(F.least(mine, other), 32).bitwiseOR(F.greatest(mine, other))
+    cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), cell))
+    return held.select("key", F.explode(cells).alias("cell"), "bits")
+
+
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """Links (src, dst) that connect exactly the fingerprints (column bits, distinct) reachable by steps of `radius` bits.
 
@@ -151,15 +196,11 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """
     if not 0 <= radius <= 5:
         raise ValueError("two segments with balls of radius one on both sides reach five bits at most")
-    looked = distinct.select("bits").mapInArrow(_lookups, "key long, bits long")
-    counts = looked.groupBy("key").count().where(F.col("count") > 1)
-    chunks = written(counts.select("key", F.ceil(F.col("count") / CHUNK).cast("long").alias("chunks")))
-    # merged at every size: sending the values that meet to all tasks would only fit while they are few
-    cells = looked.join(chunks.hint("merge"), "key").withColumn("mine", F.pmod(F.xxhash64("bits"), F.col("chunks")))
-    cells = cells.select("key", "bits", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "bits")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "bits")
-    return cells.mapInArrow(_links_of_cells(radius), "src long, dst long").distinct()
+    for_python(distinct.sparkSession)
+    rows = distinct.select("bits")
+    looked = rows.repartition(buckets_for(rows.count(), LOOKED), "bits").mapInArrow(_lookups, "key long, bits long")
+    cells = _dealt(looked, rows).repartition("key", "cell").sortWithinPartitions("key", "cell", "bits")
+    return cells.mapInArrow(lean(_links_of_cells(radius)), "src long, dst long").distinct()
 
 
 def rooted(marked: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
