@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,39 @@ def folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as a Parquet table in the shared folder and read again: lost executors cost nothing of it."""
+#: Of the scopes that are open, from the outermost in, the tables written in each.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open scopes", default=())
+
+
+def _stored(df: DataFrame, scope: list[str] | None) -> DataFrame:
     path = folder(df.sparkSession)
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as a Parquet table in the shared folder and read again: lost executors cost nothing of it.
+
+    The table is removed at the end of the scope in which it is written, if there is one.
+    """
+    return _stored(df, _open.get()[-1] if _open.get() else None)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A stretch of a job at whose end the tables written in it are removed.
+
+    It gives a function that writes a table as `written` does, but so that it stays: what the stretch is for.
+    """
+    around = _open.get()
+    own: list[str] = []
+    token = _open.set((*around, own))
+    try:
+        yield lambda df: _stored(df, around[-1] if around else None)
+    finally:
+        _open.reset(token)
+        for path in own:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,7 +1,7 @@
 """Maintenance of tables, landing, validation and streaming."""
 
 import json
-import shutil
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +236,19 @@ def test_every_dimension_is_looked_up(spark, kind):
     found = registry.queries()[name](spark, folder)
     text = lambda row: [float(x) if isinstance(x, int) or hasattr(x, "as_tuple") else x for x in row]
     assert want and sorted(map(str, map(text, found.collect()))) == sorted(map(str, map(text, want)))
+
+
+def test_tables_of_a_scope_are_removed(spark):
+    def there(df):
+        return all(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())
+
+    outside = scratch.written(spark.range(3))
+    with scratch.scope(spark) as lasting:
+        inside = scratch.written(spark.range(4))
+        with scratch.scope(spark) as inner_lasting:
+            inner = scratch.written(inside)
+            handed = inner_lasting(inner)
+        assert there(inside) and there(handed) and not there(inner)
+        result = lasting(handed)
+    assert there(outside) and there(result) and not there(inside) and not there(handed)
+    assert result.count() == 4
