@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerlens.llm.shared import for_python
+from ledgerlens.llm.shared import for_python, lean
 
 #: The split of the word tokenizer, with `\s` spelt out as the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -370,7 +370,7 @@ def _mapped(df: DataFrame, source: str, added: list[tuple[str, T.DataType]], mak
             made = step(batch.column(batch.schema.get_field_index(source)))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + made, names=[*kept, *(n for n, _ in added)])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import WordBpe, _slices, loaded, read_definition
-from ledgerlens.llm.shared import buckets_for, unused
+from ledgerlens.llm.shared import buckets_for, for_python, lean, unused
 from ledgerlens.scratch import written
 
 #: Pieces that one bin is to hold.
@@ -85,6 +85,7 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int, end_id: int, doc_i
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    for_python(docs.sparkSession)
     definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
     end = int(end_id).to_bytes(4, "little")
 
@@ -104,7 +105,7 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int, end_id: int, doc_i
                 done += len(whole)
                 yield pa.RecordBatch.from_arrays([key, pa.array(start), pa.array(length), pa.array(tokens[row]), pa.array(ids, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
@@ -112,6 +113,7 @@ def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[st
 
     Pieces are at least 1 and at most `window` long; `order` breaks ties of length.
     """
+    for_python(pieces.sparkSession)
     table = written(pieces.drop("sequence_id", "offset"))
     bins = buckets_for(table.count(), BIN_PIECES)
     schema = T.StructType([*table.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

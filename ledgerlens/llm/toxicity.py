@@ -3,8 +3,10 @@
 The features of a text are its words' character n-grams of 3 to 6 characters, the word's borders included, hashed
 into buckets; a bucket's value is the number of distinct words of the text that have it.  From labelled texts each
 bucket gets the log ratio of the share of toxic texts that have it to that of the others; buckets whose
-ratio is not clear of its sampling error count as 0.  A logistic regression with weight decay is then fitted on
-the values times these ratios.  As the score is a sum over words, a text of any length is scored in one pass.
+ratio is not clear of its sampling error count as 0.  A logistic regression with weight decay, in which both classes
+weigh the same, is then fitted on the logarithms of the values times these ratios; all clear buckets take part.  The
+fit is distributed: the driver holds a number for each bucket and no rows.  As the score is a sum over words, a text
+of any length is scored in one pass.
 
 The classifier is fitted on a bounded sample of labelled rows (`TRAIN_ROWS`, those first by a hash of the id).
 Scores depend on the text alone.
@@ -22,21 +24,26 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import _mapped, _slices
+from ledgerlens.llm.shared import for_python, lean
 from ledgerlens.scratch import written
 
 #: Bound of the training sample, in labelled rows.
 TRAIN_ROWS = 10_000
 BUCKET_BITS = 18
 NGRAMS = (3, 6)
-#: A bucket's log ratio must be this many standard errors from 0, and at most so many buckets are kept.
-CLEAR, MOST_FEATURES = 4.0, 4096
+#: A bucket's log ratio must be this many standard errors from 0.
+CLEAR = 4.0
+#: Steps of the fit at most, and its weight decay.
+STEPS, DECAY = 60, 1e-3
 #: Bytes of text whose n-grams are held at once, about.
-STRETCH_BYTES = 1 << 20
+STRETCH_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -96,6 +103,7 @@ def _values(texts: pa.Array, wanted: np.ndarray | None = None):
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = TRAIN_ROWS) -> Model:
     """Fits the classifier on at most `bound` rows of `labels` and their texts."""
+    for_python(docs.sparkSession)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(bound)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -118,56 +126,49 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         held = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[1, held]), pa.array(seen[0, held])], names=["bucket", "p", "n"])
 
-    sums = sample.mapInArrow(count, "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    sums = sample.mapInArrow(lean(count), "bucket long, p long, n long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     ratio = F.log((F.col("p") + 1) / (positive + 2)) - F.log((F.col("n") + 1) / (negative + 2))
     error = F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("n") + 1))
-    clear = sums.select("bucket", ratio.alias("ratio"), F.abs(ratio / error).alias("clear")).where(F.col("clear") >= CLEAR)
-    clear = clear.orderBy(F.desc("clear"), "bucket").limit(MOST_FEATURES).toPandas().sort_values("bucket")
+    clear = sums.select("bucket", ratio.alias("ratio")).where(F.abs(ratio / error) >= CLEAR).toPandas()  # a row for each bucket at most
     ratios = np.zeros(1 << BUCKET_BITS)
     ratios[clear["bucket"]] = clear["ratio"]
-    wanted = docs.sparkSession.sparkContext.broadcast(ratios != 0)
+    if not len(clear):
+        return Model(ratios, float(np.log((positive + 1) / (negative + 1))))
+    held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def select(batches):
+        wanted = held.value != 0
+        place = np.cumsum(wanted) - 1
         for batch in batches:
             done = 0
             for part in _slices(batch.column(0), STRETCH_BYTES):
                 toxic = batch.column(1).slice(done, len(part))
                 done += len(part)
-                row, bucket, times = _values(part, wanted.value)
-                bounds = np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int32))) for x in (bucket, times)]
-                yield pa.RecordBatch.from_arrays([toxic, *lists], names=["toxic", "buckets", "times"])
-
-    fitted = sample.mapInArrow(select, "toxic int, buckets array<int>, times array<int>").toArrow().combine_chunks()
-    return _fit(fitted, ratios)
-
-
-def _fit(rows: pa.Table, ratios: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Model:
-    """Logistic regression on values times ratios by full gradient steps with adapted rates; both classes weigh the same."""
-    toxic = rows["toxic"].to_numpy().astype(float)
-    lists = rows["buckets"].combine_chunks()
-    size = np.diff(lists.offsets.to_numpy())
-    names, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    row = np.repeat(np.arange(len(size)), size)
-    value = np.log1p(rows["times"].combine_chunks().flatten().to_numpy()) * ratios[names][column]
-    balance = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
-    coef, bias = np.zeros(len(names)), 0.0
-    square, bias_square = np.full(len(names), 1e-8), 1e-8
-    for _ in range(steps):
-        raw = np.bincount(row, value * coef[column], len(size)) + bias
-        off = (1 / (1 + np.exp(-np.clip(raw, -50, 50))) - toxic) * balance
-        slope = np.bincount(column, value * off[row], len(names)) + decay * coef / max(1, len(names))
-        square += slope**2
-        bias_square += off.sum() ** 2
-        coef -= 0.1 * slope / np.sqrt(square)
-        bias -= 0.1 * off.sum() / np.sqrt(bias_square)
+                row, bucket, times = _values(part, wanted)
+                bounds = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (place[bucket].astype(np.int32), np.log1p(times) * held.value[bucket])]
+                yield pa.RecordBatch.from_arrays([toxic, *lists], names=["toxic", "places", "values"])
+
+    rows = written(sample.mapInArrow(lean(select), "toxic int, places array<int>, values array<double>"))
+    names = np.flatnonzero(ratios)
     weight = np.zeros(1 << BUCKET_BITS)
-    weight[names] = coef * ratios[names]
+    coefficients, bias = _fit(rows, len(names), 0.5 / positive, 0.5 / negative)
+    weight[names] = coefficients * ratios[names]
     return Model(weight, bias)
 
 
+def _fit(rows: DataFrame, size: int, of_toxic: float, of_other: float) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a logistic regression on rows (toxic, places, values) of sparse vectors."""
+    vector = F.udf(lambda places, values: Vectors.sparse(size, places, values), VectorUDT())
+    balance = F.when(F.col("toxic") == 1, of_toxic).otherwise(of_other)
+    given = rows.select(F.col("toxic").cast("double").alias("label"), balance.alias("weight"), vector("places", "values").alias("features"))
+    fitted = LogisticRegression(maxIter=STEPS, regParam=DECAY, standardization=False, weightCol="weight").fit(given)
+    return fitted.coefficients.toArray(), float(fitted.intercept)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """Adds `name`: the probability that the text is toxic, by the model."""
+    for_python(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(part: pa.Array) -> pa.Array:
