@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.llm.bpe import _mapped, _slices
 from ledgerlens.llm.shared import for_python, lean
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope, written
 
 #: Bound of the training sample, in labelled rows.
 TRAIN_ROWS = 10_000
@@ -104,6 +104,11 @@ def _values(texts: pa.Array, wanted: np.ndarray | None = None):
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = TRAIN_ROWS) -> Model:
     """Fits the classifier on at most `bound` rows of `labels` and their texts."""
     for_python(docs.sparkSession)
+    with scope(docs.sparkSession):
+        return _trained(docs, labels, doc_id, text, label, bound)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, bound: int) -> Model:
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(bound)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

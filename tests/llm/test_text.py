@@ -1,8 +1,11 @@
 """Toxicity, fixity audit, URL lists and line dedup."""
 
+import math
 import random
+import re
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -56,10 +59,64 @@ def test_toxicity_without_one_of_the_classes(spark, labelled):
     assert [r.score for r in toxicity.score(docs, model).limit(3).collect()] == pytest.approx([1 / (1 + 301)] * 3, abs=1e-6)
 
 
+def grams(text):
+    """The buckets of a text, and in how many of its distinct words each stands, character by character."""
+    held = {}
+    for word in {w for w in re.split(r"[\x20\x09-\x0D]+", text) if w}:
+        marked = "\n" + word.lower() + "\n"
+        found = set()
+        for n in range(3, 7):
+            for i in range(len(marked) - n + 1):
+                value = 0
+                for c in marked[i : i + n]:
+                    value = (value * 0x01000193 + ord(c)) % (1 << 32)
+                found.add((value ^ n) * 0x9E3779B1 % (1 << 32) >> 32 - toxicity.BUCKET_BITS)
+        for bucket in found:
+            held[bucket] = held.get(bucket, 0) + 1
+    return held
+
+
+def test_ratios_fit_and_scores_equal_brute_force(spark, labelled):
+    docs, labels, rows = labelled
+    model = toxicity.train(docs, labels)
+    known = [(grams(t), k) for i, t, k in rows if i < 400]
+    positive, negative = sum(k for _, k in known), sum(1 - k for _, k in known)
+    ratios = {}
+    for bucket in {b for g, _ in known for b in g}:
+        p, n = sum(bucket in g for g, k in known if k), sum(bucket in g for g, k in known if not k)
+        ratio = math.log((p + 1) / (positive + 2)) - math.log((n + 1) / (negative + 2))
+        if abs(ratio / math.sqrt(1 / (p + 1) + 1 / (n + 1))) >= toxicity.CLEAR:
+            ratios[bucket] = ratio
+    names = sorted(ratios)
+    assert len(names) > 20 and set(np.flatnonzero(model.weight)) <= set(names)
+    x = np.array([[math.log1p(g.get(b, 0)) * ratios[b] for b in names] for g, _ in known])
+    y, coefficients = np.array([k for _, k in known]), np.array([model.weight[b] / ratios[b] for b in names])
+    # at the optimum the slope of the balanced loss is that of the weight decay
+    off = (1 / (1 + np.exp(-(x @ coefficients + model.bias))) - y) * np.where(y == 1, 0.5 / positive, 0.5 / negative)
+    assert abs(off.sum()) < 1e-3 and np.abs(x.T @ off + toxicity.DECAY * coefficients).max() < 1e-3
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t, _ in rows[::7]:
+        raw = model.bias + sum(math.log1p(n) * model.weight[b] for b, n in grams(t).items())
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
+def test_all_clear_buckets_take_part(spark):
+    """Far more telling n-grams than any fixed number of features."""
+    pick = random.Random(21)
+    word = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rude = [word() for _ in range(400)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *(rude if i % 2 else [])]), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int"))
+    assert np.count_nonzero(model.weight) > 4096
+    assert all((r.score >= 0.5) == r.doc_id % 2 for r in toxicity.score(docs, model).collect())
+
+
 def test_ngrams_of_words():
     owner, bucket = toxicity.word_features(pa.array(["ab", "", "abc", "ab"]))
-    assert [int((owner == k).sum()) for k in range(4)] == [3, 1, 3 + 2 + 1, 3] or owner.max() == 3
-    assert sorted(bucket[owner == 0]) == sorted(bucket[owner == 3])
+    for k, word in enumerate(["ab", "", "abc", "ab"]):
+        assert set(bucket[owner == k]) == set(grams(word))
+    assert [int((owner == k).sum()) for k in range(4)] == [3, 0, 6, 3]
 
 
 # -- fixity ------------------------------------------------------------------------------------------------------
