@@ -149,7 +149,7 @@ def vectors_of(dims, seed=6):
     return [list(map(float, r)) for r in rows] + [None, [], [0.0] * dims, [float("nan")] + [1.0] * (dims - 1), [float("inf")] * dims, [None] * dims, [1.0, 2.0]]
 
 
-@pytest.mark.parametrize("dims, chunk", [(64, 4096), (64, 16), (20, 4096), (3, 7)])
+@pytest.mark.parametrize("dims, chunk", [(64, 16384), (64, 16), (20, 16384), (3, 7)])
 def test_vector_components(spark, monkeypatch, dims, chunk):
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
     given = vectors_of(dims)
@@ -166,3 +166,30 @@ def test_vector_components(spark, monkeypatch, dims, chunk):
 
 def test_vectors_empty_table(spark):
     assert embeddings.components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("coords", [1, 2, 4])
+def test_cells_and_grids_find_every_pair_once(coords):
+    rng = np.random.default_rng(coords)
+    unit = embeddings._unit(np.concatenate([rng.standard_normal((150, 16)), np.repeat(rng.standard_normal((10, 16)), 20, axis=0) + 0.2 * rng.standard_normal((200, 16))]))
+    layout = embeddings.Layout(16, 0.8, unit, 350)
+    assert np.allclose(layout.rotation @ layout.rotation.T, np.eye(16)) and [b.stop - b.start for b in layout.blocks] == [8, 8]
+    turned = unit @ layout.rotation
+    for block in layout.blocks:
+        here = turned[:, block]
+        want = {(i, j) for i, j in zip(*np.nonzero(((here[:, None] - here[None]) ** 2).sum(-1) <= layout.budget(block))) if i < j}
+        row, cell, visit = layout.cells(turned, block, coords)
+        found = []
+        for c in np.unique(cell):
+            at = row[cell == c]
+            for chunks in (1, 3):
+                mine = at % chunks
+                pairs = [(i, j) for i in range(chunks) for j in range(i, chunks)]
+                met = []
+                for i, j in pairs:
+                    part = np.flatnonzero((mine == i) | (mine == j))
+                    for a, b in embeddings._near(here[at[part]], visit[cell == c][part], mine[part], i << 32 | j, layout.budget(block)):
+                        met += [tuple(sorted(p)) for p in zip(at[part][a].tolist(), at[part][b].tolist())]
+                assert len(met) == len(set(met))
+            found += met
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 500
