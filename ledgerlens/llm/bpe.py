@@ -261,7 +261,8 @@ class WordBpe:
     def _encode_piece(self, piece: str) -> bytes:
         packed = b"" if piece == "\n" else self._words.get(piece)
         if packed is None:
-            ids = self.encode_word("".join([self._alphabet[x] for x in piece.encode()]))
+            # printable ASCII stands for itself
+            ids = self.encode_word(piece if piece.isascii() and piece.isprintable() else "".join([self._alphabet[x] for x in piece.encode()]))
             packed = array("I", ids).tobytes()
             if len(piece) <= CACHED_BYTES:
                 self._words.put(piece, packed)
@@ -282,7 +283,10 @@ class WordBpe:
     def _encode_lines(self, chunks: pa.Array, ascii_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each chunk the start and number of its ids, and all ids.  The chunks are split as one text of lines."""
         pieces = pa.array(self._pieces(pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), "\n")[0].as_py() + "\n", ascii_only), pa.string()).dictionary_encode()
-        packed = list(map(self._encode_piece, pieces.dictionary.to_pylist()))
+        words = pieces.dictionary.to_pylist()
+        packed = list(map(self._words.new.get, words))
+        for i in [i for i, held in enumerate(packed) if held is None]:
+            packed[i] = self._encode_piece(words[i])
         order = pieces.indices.to_numpy(zero_copy_only=False)
         ids, ends = _gathered(packed, order)
         ends = ends[np.flatnonzero(order == packed.index(b"")) + 1]
