@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.shared import buckets_for, one_of_each
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope, written
 
 #: Runs of these count as one space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -88,7 +88,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per row of `docs`."""
-    named = written(identities(docs, doc_id, text, block_bytes))
+    with scope(docs.sparkSession) as lasting:
+        named = lasting(identities(docs, doc_id, text, block_bytes))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     kept = named.groupBy("blocks", "name").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
     same = named.join(written(kept), ["blocks", "name"])  # both sides are scans: a large group is split by the join

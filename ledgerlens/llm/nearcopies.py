@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
 from ledgerlens.llm.shared import BROADCAST_KEYS, connected_components, for_python, lean, one_of_each
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
@@ -219,9 +219,11 @@ def _found(docs: DataFrame, doc_id: str, text: str, percent: int, radius: int) -
     for_python(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    marked = written(source.mapInArrow(lean(_marks), f"doc_id {kind}, h long, bits long, print binary, sketch binary, bands array<long>"))
-    distinct = simhash.firsts_of(marked)
-    return simhash.rooted(marked, distinct, simhash.links(distinct, radius).unionByName(links(docs, marked, text, percent)))
+    with scope(docs.sparkSession) as lasting:
+        marked = written(source.mapInArrow(lean(_marks), f"doc_id {kind}, h long, bits long, print binary, sketch binary, bands array<long>"))
+        distinct = simhash.firsts_of(marked)
+        linked = simhash.links(distinct, radius).unionByName(links(docs, marked, text, percent))
+        return lasting(simhash.rooted(marked, distinct, linked))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, radius: int = 4) -> DataFrame:

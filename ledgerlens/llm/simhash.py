@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.shared import BROADCAST_KEYS, buckets_for, connected_components, for_python, lean, one_of_each
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope, written
 
 #: First bit and width of each segment.
 SEGMENTS = ((0, 32), (32, 32))
@@ -227,9 +227,10 @@ def kept_of(found: DataFrame) -> DataFrame:
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, shingle_words: int, radius: int) -> DataFrame:
-    marked = written(fingerprints(docs, doc_id, text, shingle_words))
-    distinct = firsts_of(marked)
-    return rooted(marked, distinct, links(distinct, radius))
+    with scope(docs.sparkSession) as lasting:
+        marked = written(fingerprints(docs, doc_id, text, shingle_words))
+        distinct = firsts_of(marked)
+        return lasting(rooted(marked, distinct, links(distinct, radius)))
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = 4, radius: int = 4) -> DataFrame:

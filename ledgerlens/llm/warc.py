@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope, written
 
 RANGE_BYTES, FANOUT = 1 << 16, 16
 
@@ -73,20 +73,21 @@ def audit(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) ->
 
 def compared(left: DataFrame, right: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """As `audit`, of records whose payloads are hashed already: payloads need not be moved."""
-    sides = [written(digests(x)) for x in (left, right)]
-    trees = [tree(leaves_of(x, range_bytes)) for x in sides]
-    depth = max(map(len, trees))
-    # an archive whose tree is lower than the other replica's is compared from the shared height down
-    suspects = None
-    for level in range(depth - 1, -1, -1):
-        nodes = [t[level] if level < len(t) else t[-1].where("false") for t in trees]
-        if suspects is not None:
-            below = suspects.withColumnRenamed("node", "up")
-            nodes = [n.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(below, ["archive", "up"], "left_semi").drop("up") for n in nodes]
-        suspects = written(_differing(*nodes))
-    suspects = suspects.withColumnRenamed("node", "leaf")
-    held = [x.withColumn("leaf", F.floor(F.col("offset") / range_bytes).cast("long")).join(suspects, ["archive", "leaf"], "left_semi") for x in sides]
-    l, r = (x.select("archive", "offset", F.col("length").alias(f"{n}_length"), F.col("digest").alias(f"{n}_digest")) for x, n in zip(held, ("left", "right")))
-    both = l.join(r, ["archive", "offset"], "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
-    status = F.when(F.col("right_digest").isNull(), "missing").when(F.col("left_digest").isNull(), "extra").otherwise("changed")
-    return both.select("archive", "offset", status.alias("status"), "left_length", "right_length", "left_digest", "right_digest")
+    with scope(left.sparkSession) as lasting:
+        sides = [written(digests(x)) for x in (left, right)]
+        trees = [tree(leaves_of(x, range_bytes)) for x in sides]
+        depth = max(map(len, trees))
+        # an archive whose tree is lower than the other replica's is compared from the shared height down
+        suspects = None
+        for level in range(depth - 1, -1, -1):
+            nodes = [t[level] if level < len(t) else t[-1].where("false") for t in trees]
+            if suspects is not None:
+                below = suspects.withColumnRenamed("node", "up")
+                nodes = [n.withColumn("up", F.floor(F.col("node") / FANOUT).cast("long")).join(below, ["archive", "up"], "left_semi").drop("up") for n in nodes]
+            suspects = written(_differing(*nodes))
+        suspects = suspects.withColumnRenamed("node", "leaf")
+        held = [x.withColumn("leaf", F.floor(F.col("offset") / range_bytes).cast("long")).join(suspects, ["archive", "leaf"], "left_semi") for x in sides]
+        l, r = (x.select("archive", "offset", F.col("length").alias(f"{n}_length"), F.col("digest").alias(f"{n}_digest")) for x, n in zip(held, ("left", "right")))
+        both = l.join(r, ["archive", "offset"], "full").where(~F.col("left_digest").eqNullSafe(F.col("right_digest")))
+        status = F.when(F.col("right_digest").isNull(), "missing").when(F.col("left_digest").isNull(), "extra").otherwise("changed")
+        return lasting(both.select("archive", "offset", status.alias("status"), "left_length", "right_length", "left_digest", "right_digest"))
