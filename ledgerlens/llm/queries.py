@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, embeddings, exact, lines, packing, sharding, simhash, toxicity, urllists, warc
+from ledgerlens.llm import bpe, embeddings, exact, lines, packing, quality, search, sharding, simhash, spelling, toxicity, urllists, warc
 from ledgerlens.scratch import written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -211,10 +211,92 @@ from d window w as (partition by t)
 """
 
 
+def _held_out_of_quality(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.train(docs, _table(spark, sf_dir, "labels").where(~_held_out_of_quality()))
+    scored = quality.score(docs, weights).drop("text")
+    return scored.select("doc_id", F.coalesce(_held_out_of_quality(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(_table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+OP12_SQL = r"""
+with recursive turns as (select unnest(range(0, 256)) as i),
+crc_table as (
+  select list(list_reduce(list_concat([i], range(0, 8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t from turns),
+runs as (
+  select coalesce(cast(doc_id as varchar), '') as id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents),
+counted as (select id, run, count(*) as n from runs where length(run) >= 5 group by id, run),
+coded as (select run, n, hex(encode(id || ':' || run)) as x from counted),
+summed as (
+  select run, n,
+         xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x) // 2), lambda k: (strpos('0123456789ABCDEF', x[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * k + 2]) - 1)),
+                         lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) as h
+  from coded, crc_table),
+worn as (
+  select case when h % 97 = 0 then left(run, h % length(run)) || substr(run, cast(h % length(run) + 2 as bigint)) else run end as word, n from summed),
+v as (select word, cast(sum(n) as bigint) as n from worn where length(word) >= 5 group by word having sum(n) >= 3),
+shorter as (select word, n, i, left(word, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(0, length(word))) as i from v)),
+near as (
+  select a.word, b.word as other from shorter a join shorter b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union
+  select a.word, b.word from shorter a join v b on a.rest = b.word
+  union
+  select b.word, a.word from shorter a join v b on a.rest = b.word),
+best as (
+  select near.word, count(*) as n_near, min(case when o.n >= 2 * v.n then {'minus': -o.n, 'form': o.word} end) as best
+  from near join v on v.word = near.word join v o on o.word = near.other group by near.word),
+forms as (
+  select v.word, v.n, coalesce(best.n_near, 0) as n_near, best.best.form as form, -best.best.minus as form_n from v left join best on best.word = v.word),
+walk(word, reached, k) as (
+  select word, word, 0 from forms
+  union all
+  select walk.word, forms.form, k + 1 from walk join forms on forms.word = walk.reached where forms.form is not null),
+roots as (select word, max_by(reached, k) as root from walk group by word)
+select forms.word, n, n_near, form, form_n, root from forms join roots using (word)
+"""
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 50)
+
+
+OP13_SQL = r"""
+with cut as (
+  select row_number() over () as r, doc_id,
+         list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as terms
+  from documents),
+d as (select r, doc_id, terms, len(terms) as n from cut where len(terms) > 0),
+whole as (select count(*) as docs, cast(sum(n) as bigint) as length from d),
+items as (
+  select distinct item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term
+  from benchmark),
+found as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from d) where term in (select term from items) group by r, term),
+weighed as (
+  select term, cast(floor(1000 * ln((2 * cast(docs as double) + 2) / (2 * count(*) + 1))) as bigint) as w from found, whole group by term, docs),
+points as (
+  select items.item_id, d.r, d.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) as bigint) as score
+  from items join found on found.term = items.term join weighed on weighed.term = items.term join d on d.r = found.r, whole
+  group by items.item_id, d.r, d.doc_id),
+ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from points where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+
 def queries() -> dict:
-    own = (op1_bpe, op2_toxicity, op3_warc_audit, op4_url_lists, op5_line_dedup, op6_embedding_dedup, op7_sharding, op8_packing, op9_simhash, op10_exact_dedup)
+    own = (op1_bpe, op2_toxicity, op3_warc_audit, op4_url_lists, op5_line_dedup, op6_embedding_dedup, op7_sharding, op8_packing, op9_simhash, op10_exact_dedup, op11_quality, op12_spelling, op13_search)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_audit": OP3_SQL, "op4_url_lists": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op3_warc_audit": OP3_SQL, "op4_url_lists": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op12_spelling": OP12_SQL, "op13_search": OP13_SQL}
