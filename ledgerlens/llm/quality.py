@@ -37,7 +37,9 @@ PASSAGE, TRIGRAMS = 512, 256
 TRAIN_ROWS, TRAIN_PASSAGES = 4_000, 64
 #: Sizes of the encoding and of the attention's layers.
 HIDDEN, GATES = 24, 12
-WORKERS, ROUNDS, PASSES, BATCH, RATE, DECAY = 8, 8, 3, 32, 0.01, 1e-4
+WORKERS, ROUNDS, RATE, DECAY = 8, 8, 0.01, 1e-4
+#: Of each round: texts of a step, and passes over a part's texts, more where they would make fewer steps than `STEPS`.
+BATCH, PASSES, STEPS = 32, 3, 15
 #: Passages that are encoded at once.
 STRETCH = 2048
 #: Kinds of bytes: lower and upper case, digits, white space, line ends, marks of sentences, other marks, beyond ASCII.
@@ -66,11 +68,10 @@ def features(body: np.ndarray, size: np.ndarray) -> np.ndarray:
     kind = _KIND[body]
     out[:, TRIGRAMS : TRIGRAMS + _KINDS] = np.bincount(owner * _KINDS + kind, minlength=count * _KINDS).reshape(count, _KINDS) / whole
     space = (kind == 3) | (kind == 4)
-    alike = np.zeros(len(body), bool)
-    alike[1:] = (body[1:] == body[:-1]) & ~space[1:] & (owner[1:] == owner[:-1])
-    starts = np.zeros(len(body), bool)
-    starts[:1] = ~space[:1]
-    starts[1:] = ~space[1:] & space[:-1]
+    first = np.ones(len(body), bool)  # of its passage: what a passage has depends on its own bytes alone
+    first[1:] = owner[1:] != owner[:-1]
+    alike = ~space & ~first & (body == np.roll(body, 1))
+    starts = ~space & (first | np.roll(space, 1))
     share = lambda mask: np.bincount(owner[mask], minlength=count) / whole[:, 0]
     out[:, -4:] = np.stack([share(alike) * 4, share(starts) * 4, size / PASSAGE, size == 0], axis=1)
     return out
@@ -140,7 +141,7 @@ def learnt(flat: np.ndarray, x: np.ndarray, starts: np.ndarray, label: np.ndarra
     flat, order = flat.copy(), np.random.default_rng(turn)
     ends = np.append(starts[1:], len(x))
     mean, square, step = np.zeros_like(flat), np.zeros_like(flat), 0
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, -(-STEPS // max(1, -(-len(starts) // BATCH))))):
         chosen = order.permutation(len(starts))
         for k in range(0, len(chosen), BATCH):
             some = chosen[k : k + BATCH]

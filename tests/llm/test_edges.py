@@ -77,6 +77,9 @@ SCHEMAS = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op11_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op12_spelling": "word string, n bigint, n_near bigint, form string, form_n bigint, root string",
+    "op13_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -89,6 +92,7 @@ def tables(spark, tmp_path_factory):
         "documents": spark.createDataFrame([(i, t, None if i == 4 else "en", "s", 1, "x", 2, 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string, score int, offset int"),
         "labels": spark.createDataFrame([(i, 1, int(i % 3 == 1)) for i, _ in rows if i and i >= 100] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int"),
         "embeddings": spark.createDataFrame([(i, [1.0, i / 9, 0.5]) for i in range(5)] + [(7, None), (8, [0.0] * 3), (None, [1.0, 0.0, 0.5])], "vec_id long, embedding array<double>"),
+        "benchmark": spark.createDataFrame([(0, "plain words"), (0, "toxic"), (1, None), (2, ""), (None, "line")], "item_id long, text string"),
         "pages": spark.createDataFrame([(i, f"http://h{i % 4}.example.net/{i}", "<p>" * i) for i in range(40)] + [(None, None, None)], "page_id long, url string, html string"),
     }
     for name, table in made.items():
@@ -127,6 +131,14 @@ def test_registered_query(spark, tables, name):
         assert got[got.doc_id == 7].fingerprint.tolist() == [f"{xxhash.xxh64_intdigest(b'a b', 42):016x}"]
     elif name == "op10_exact_dedup":
         assert len(got) == len(rows) and got.kept.sum() == len({" ".join(f".{t}.".split())[1:-1] for t in texts})
+    elif name == "op11_quality":
+        assert len(got) == len(rows) and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+        known = got.dropna(subset=["doc_id"])
+        assert [bool(h) for h in known.held_out] == [zlib.crc32(str(int(i)).encode()) % 3 == 1 for i in known.doc_id]
+    elif name == "op12_spelling":
+        assert set(got.word) >= {"plain", "words", "number", "zorgish", "blaxy"} and got.n[got.word == "plain"].item() >= 59 and (got.n >= 3).all()
+    elif name == "op13_search":
+        assert set(got.item_id.dropna()) == {0} and got[got.item_id.isna()].doc_id.tolist() == [9] and len(got[got.item_id == 0]) == 50
     elif name == "op6_embedding_dedup":
         assert len(got) == 8 and got[got.vec_id.isin([7, 8])].n_links.tolist() == [0, 0] and got[got.vec_id == 0].component_id.tolist() == [0]
 
