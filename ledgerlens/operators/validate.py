@@ -18,13 +18,18 @@ def seconds_of(value: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(value))
 
 
-def normalise_documents(landed: DataFrame) -> DataFrame:
-    """Header rows of landed documents."""
+def normalise_documents(landed: DataFrame, *more: str) -> DataFrame:
+    """Header rows of landed documents, and further columns as they are."""
     return landed.select(
-        F.col("id").alias("doc_id"), "context_id", F.col("document_number").alias("doc_number"), day_of(F.col("issue_date")).alias("issue_date"), "customer_id", seconds_of(F.col("modified")).alias("modified")
+        F.col("id").alias("doc_id"), "context_id", F.col("document_number").alias("doc_number"), day_of(F.col("issue_date")).alias("issue_date"), "customer_id", seconds_of(F.col("modified")).alias("modified"), *more
     )
 
 
+def line_count(lines: str = "document_items") -> Column:
+    """How many lines `flatten_lines` makes of a document."""
+    return F.coalesce(F.size(F.filter(lines, lambda x: F.coalesce(x["item_id"], F.lit("")) != "")), F.lit(0))
+
+
 def flatten_lines(landed: DataFrame) -> DataFrame:
     """Line rows of landed documents, without lines that name no item."""
     rows = landed.select(F.col("id").alias("doc_id"), F.explode("document_items").alias("line"))

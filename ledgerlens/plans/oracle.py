@@ -269,6 +269,8 @@ select 'N' || doc_id, case when n % 30 <> 0 then customer_id end, issue_date, ca
         "write_json": _TREND_CTE + f"select item_id, item_name, coalesce(direction, 'stable') as direction, {r('coalesce(growth_rate, 0)', 3)} as growth_rate, coalesce(momentum, 'stable') as momentum, {r('coalesce(volatility, 0)', 3)} as volatility from all_items left join trend using (item_id)",
         "sync_state": "select cast(996620400 as bigint) as lastSync, cast(996620400 as bigint) as lastFullSync, (select count(*) from headers) as documentCount, (select count(*) from item_lines) as itemDocumentCount, 'main' as accountName, 1 as schemaVersion",
         "sync_full": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",
+        "sync_removals": "select h.doc_id, h.customer_id, count(*) as n_lines from headers h join item_lines l on l.doc_id = h.doc_id where h.doc_number % 7 <> 0 group by h.doc_id, h.customer_id",
+        "stored_documents_by_id": "select h.doc_id, h.issue_date, h.customer_id, count(*) as n_lines, cast(sum(quantity) as double) as quantity from headers h join item_lines l on l.doc_id = h.doc_id where h.doc_number % 50 = 0 group by h.doc_id, h.issue_date, h.customer_id",
         "stream_ingest_documents": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",
         "sync_summary": "select 'full' as type, (select count(*) from headers) as documents_processed, (select count(*) from item_lines) as lines_processed, 0 as documents_deleted, cast(null as double) as seconds",
         "report_trends_periods": _QUARTER_CTE + f"select item_id, idx, period, sold, revenue, {r('avg_monthly', 2)} as avg_monthly from quarters",

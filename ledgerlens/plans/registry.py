@@ -15,6 +15,7 @@ from ledgerlens.functions.text import int_list, periods_of, safe_name
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import facts, lookups, matching, tables, validate
 from ledgerlens.operators import statistics as st
+from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import reports
 from ledgerlens.sources import landing
 from ledgerlens.sources.adapter import AS_OF, SalesTables, sales_tables
@@ -528,8 +529,8 @@ def sync_summary(spark, t):
     return tables.sync_summary("full", t.documents, t.lines)
 
 
-def _store(spark: SparkSession) -> tables.Snapshots:
-    return tables.Snapshots(spark, scratch.folder(spark))
+def _store(spark: SparkSession) -> Snapshots:
+    return Snapshots(spark, scratch.folder(spark))
 
 
 def _doc_pages(spark: SparkSession, t: SalesTables) -> str:
@@ -557,7 +558,7 @@ def stream_ingest_documents(spark, t):
 SYNCED = 2_000_000_000  # of the first sync; what has changed since was changed 1,000 s later
 
 
-def _synced(spark: SparkSession, t: SalesTables) -> tuple[tables.Snapshots, list[DataFrame]]:
+def _synced(spark: SparkSession, t: SalesTables) -> tuple[Snapshots, list[DataFrame]]:
     """A store after a full sync and a delta sync from the same listing with changes, and the summaries of both.
 
     In the second listing one document in five is new and one in three is changed with its lines; the others
@@ -570,7 +571,7 @@ def _synced(spark: SparkSession, t: SalesTables) -> tuple[tables.Snapshots, list
     doubled = F.transform("document_items", lambda x: x.withField("quantity", x["quantity"] * 2))
     changed = (n % 5 == 0) | (n % 3 == 0)
     second = landed.withColumns({"modified": F.when(changed, at(SYNCED + 1000)).otherwise(F.col("modified")), "customer_id": F.when(n % 3 == 0, "C-new").when(n % 5 == 0, F.col("customer_id")).otherwise("C-never"), "document_items": F.when(n % 3 == 0, doubled).otherwise(F.col("document_items"))})
-    store = tables.Snapshots.of_account(spark, scratch.folder(spark), "main shop")
+    store = Snapshots.of_account(spark, scratch.folder(spark), "main shop")
     summaries = []
     for rows, now in ((first, SYNCED), (second, SYNCED + 2000)):
         done, _ = ingest.sync(store, scratch.written(rows), "main shop", now)
@@ -595,6 +596,27 @@ def sync_delta_state(spark, t):
     return first.unionByName(second)
 
 
+@_query
+def sync_removals(spark, t):
+    """Headers and their number of lines in a store after a full sync and a second whole listing in which one document in seven is gone."""
+    landed = _landed(t)
+    store = _store(spark)
+    ingest.sync(store, landed, "main", SYNCED)
+    ingest.sync(store, landed.where(F.col("document_number") % 7 != 0), "main", SYNCED + 2000, removals=True)
+    documents, lines = store.read()
+    return documents.join(lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")), "doc_id", "left").select("doc_id", "customer_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@_query
+def stored_documents_by_id(spark, t):
+    """Headers with quantity and number of lines, of one number in fifty, looked up in a store: only parts that may hold them are read."""
+    store = Snapshots(spark, scratch.folder(spark), part_rows=100_000)
+    ingest.merge(store, _landed(t), now=NOW)
+    documents, lines = store.of_documents(t.documents.where("doc_number % 50 = 0"))
+    sums = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("quantity").cast("double").alias("quantity"))
+    return documents.join(sums, "doc_id", "left").select("doc_id", "issue_date", "customer_id", "n_lines", "quantity")
+
+
 @_query
 def account_stores(spark, t):
     return t.customers.select("id", safe_name(F.col("name")).alias("store"))
@@ -740,7 +762,7 @@ def report_item_sales(spark, t):
 @_query
 def report_item_sales_fresh(spark, t):
     """Item sales of the periods that an option names, over a store that is synced first because it is stale, with its freshness."""
-    store = tables.Snapshots.of_account(spark, scratch.folder(spark), "main")
+    store = Snapshots.of_account(spark, scratch.folder(spark), "main")
     if ingest.needs_sync(store.state(), "main", NOW):
         ingest.sync(store, _landed(t), "main", NOW - 60)
     documents, lines = store.read()

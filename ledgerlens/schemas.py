@@ -9,7 +9,7 @@ LINES = f"item_id long, doc_id string, quantity {MONEY}, price {MONEY}"
 STATE = "lastSync long, lastFullSync long, documentCount long, itemDocumentCount long, accountName string, schemaVersion int"
 
 STORED_LINES = f"item_id string, doc_id string, quantity {MONEY}, price {MONEY}"
-MANIFEST = f"table string, part int, version long, state struct<{STATE.replace(' ', ':').replace(',:', ',')}>"
+STORED_DOCUMENTS = f"{DOCUMENTS}, n_lines int, gone boolean"
 
 LINE_JSON = "struct<item_id:string,quantity:double,price:double>"
 DOCUMENT_JSON = f"struct<id:string,context_id:int,document_number:long,customer_id:string,issue_date:string,modified:string,document_items:array<{LINE_JSON}>>"

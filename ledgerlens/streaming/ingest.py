@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens import schemas
 from ledgerlens.operators import lookups, tables, validate
-from ledgerlens.scratch import written
+from ledgerlens.operators.store import Snapshots
+from ledgerlens.scratch import scope, written
 
 
 @dataclass(frozen=True)
@@ -23,37 +24,42 @@ class Merged:
     refused: DataFrame
 
 
-def merge(store: tables.Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False) -> Merged:
+def merge(store: Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False) -> Merged:
     """Takes landed documents into the store, and advances its state.
 
     Of each document the latest version counts, and it replaces a stored one unless that is newer, with all its
-    lines, so a batch that is run again changes nothing but the state.  Only parts that hold landed documents are read
-    and written again.  Documents that the source no longer lists stay.
+    lines, so a batch that is run again changes nothing but the state.  Documents that the source no longer lists stay.
+    Of two merges at once one is second and merges with what the first has stored.
     """
-    marked = written(landed.withColumn("reason", validate.document_reason()))
-    valid, refused = marked.where("reason is null").drop("reason"), marked.where("reason is not null")
-    last = written(tables.latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))), "id", "seconds"))
-    headers, lines = validate.normalise_documents(last), validate.flatten_lines(last)
-    taken = headers.agg(F.count("*")).first()[0], lines.agg(F.count("*")).first()[0]
-    touched = [r[0] for r in headers.select(store.part_of()).distinct().collect()]  # as many as the store has parts, at most
-    held = store.read(touched)
-    if held:
-        stored = held[0].select("doc_id", F.col("modified").alias("stored"))
-        headers = headers.join(stored, "doc_id", "left").where("stored is null or modified >= stored").drop("stored")
-        lines = tables.replace_lines(held[1], lines.join(headers, "doc_id", "left_semi"), headers)
-        headers = held[0].join(headers, "doc_id", "left_anti").unionByName(headers)
-    before, now = store.state(), int(time.time()) if now is None else now
-    full = full or before is None
-
-    def state(documents: int, lines: int) -> dict:
-        # a full sync counts what it took, another one what the tables hold
-        counts = taken if full else (documents, lines)
-        return {"lastSync": now, "lastFullSync": now if full else before["lastFullSync"], "documentCount": counts[0], "itemDocumentCount": counts[1], "accountName": account, "schemaVersion": 1}
-
-    store.swap(headers, lines, touched, state)
+    moment = int(time.time()) if now is None else now
+    with scope(store.spark) as lasting:
+        marked = written(landed.withColumn("reason", validate.document_reason()))
+        valid, refused = marked.where("reason is null").drop("reason"), lasting(marked.where("reason is not null"))
+        last = written(tables.latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))), "id", "seconds"))
+        headers = validate.normalise_documents(last.withColumn("n_lines", validate.line_count()), "n_lines")
+
+        def state(before: dict | None, taken: tuple[int, int], stored: tuple[int, int]) -> dict:
+            # a full sync counts what it took, another one what the tables hold
+            whole = full or before is None
+            counts = taken if whole else stored
+            return {"lastSync": moment, "lastFullSync": moment if whole else before["lastFullSync"], "documentCount": counts[0], "itemDocumentCount": counts[1], "accountName": account, "schemaVersion": 1}
+
+        taken = store.upsert(headers, validate.flatten_lines(last), state)
     return Merged(*taken, refused)
 
 
+def remove_unlisted(store: Snapshots, listed: DataFrame) -> int:
+    """Removes the documents that a full listing (column id) no longer has, with their lines; how many there were."""
+    with scope(store.spark):
+        held = store.read()
+        if held is None:
+            return 0
+        gone = written(held[0].select("doc_id").join(listed.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
+        if gone.isEmpty():
+            return 0
+        return store.remove(gone, lambda before, stored: before and before | {"documentCount": stored[0], "itemDocumentCount": stored[1]})
+
+
 def kind_of(state: dict | None, account: str, forced: bool = False) -> str:
     """full for the first sync, for a store of another account and on demand, else delta."""
     return "full" if forced or state is None or state["accountName"] != account else "delta"
@@ -64,23 +70,26 @@ def needs_sync(state: dict | None, account: str, now: int, threshold: int = 3600
     return kind_of(state, account, forced) == "full" or state["lastSync"] < now - threshold
 
 
-def sync(store: tables.Snapshots, landed: DataFrame, account: str, now: int, forced: bool = False) -> tuple[DataFrame, DataFrame]:
+def sync(store: Snapshots, landed: DataFrame, account: str, now: int, forced: bool = False, removals: bool = False) -> tuple[DataFrame, DataFrame]:
     """A full or delta sync, as the store's state asks for: its summary row and the refused documents.
 
-    A delta sync takes the documents modified after the last sync.
+    A delta sync takes the documents modified after the last sync.  With `removals` the documents that the landed listing,
+    which must then be a whole one, no longer has are removed; else they stay.
     """
     began = time.monotonic()
     state = store.state()
     kind = kind_of(state, account, forced)
+    whole = landed
     if kind == "delta":
         recent = lookups.changed_since(landed.withColumn("_at", validate.seconds_of(F.col("modified"))), state["lastSync"], "_at")
         landed = recent.drop("_at")
     done = merge(store, landed, account, now, kind == "full")
-    row = (kind, done.documents, done.lines, 0, time.monotonic() - began)
+    deleted = remove_unlisted(store, whole) if removals else 0
+    row = (kind, done.documents, done.lines, deleted, time.monotonic() - began)
     return store.spark.createDataFrame([row], "type string, documents_processed long, lines_processed long, documents_deleted int, seconds double"), done.refused
 
 
-def ingest(spark: SparkSession, landing: str, store: tables.Snapshots, checkpoint: str, quarantine: str, account: str = "main") -> StreamingQuery:
+def ingest(spark: SparkSession, landing: str, store: Snapshots, checkpoint: str, quarantine: str, account: str = "main") -> StreamingQuery:
     """Starts a stream that takes all pages now in `landing` into the store and then ends; refused documents go to `quarantine`.
 
     The stream's checkpoint says which pages were taken; the store's state is advanced with every batch.

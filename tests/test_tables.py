@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens import schemas, scratch
 from ledgerlens.functions.text import int_list, periods_of, safe_name
 from ledgerlens.operators import lookups, tables, validate
+from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import oracle, registry
 from ledgerlens.sources import landing
 from ledgerlens.streaming import ingest
@@ -98,7 +99,7 @@ def test_landed_pages_are_flattened_and_checked(spark, tmp_path):
 
 def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
     path = land(tmp_path)
-    stores = [tables.Snapshots(spark, str(tmp_path / n)) for n in ("batch", "stream")]
+    stores = [Snapshots(spark, str(tmp_path / n)) for n in ("batch", "stream")]
     ingest.merge(stores[0], landing.read_documents(spark, path))
     ingest.merge(stores[0], landing.read_documents(spark, path))
     ingest.ingest(spark, path, stores[1], str(tmp_path / "c"), str(tmp_path / "q")).awaitTermination()
@@ -109,7 +110,7 @@ def test_stream_equals_batch_and_is_idempotent(spark, tmp_path):
 
 
 def test_late_versions_do_not_replace_newer_ones(spark, tmp_path):
-    store = tables.Snapshots(spark, str(tmp_path / "s"))
+    store = Snapshots(spark, str(tmp_path / "s"))
     docs = landing.read_documents(spark, land(tmp_path)).where("id = 'd1'")
     ingest.merge(store, docs.where("customer_id = 'new'"))
     ingest.merge(store, docs.where("customer_id = 'c'"))
@@ -117,50 +118,8 @@ def test_late_versions_do_not_replace_newer_ones(spark, tmp_path):
     assert held.first().customer_id == "new" and lines.first().item_id == "2"
 
 
-def stored(spark, *ids):
-    documents = spark.createDataFrame([(i, 5, 1, None, "c", 10) for i in ids], schemas.DOCUMENTS)
-    return documents, documents.selectExpr("'1' as item_id", "doc_id", f"cast(2 as {schemas.MONEY}) as quantity", f"cast(3 as {schemas.MONEY}) as price")
-
-
-def test_a_lost_driver_leaves_the_last_whole_version(spark, tmp_path):
-    store = tables.Snapshots(spark, str(tmp_path / "s"))
-    assert store.read() is None and store.state() is None
-    store.swap(*stored(spark, "a"))
-    second = store.swap(*stored(spark, "a", "b", "c"), state=lambda documents, lines: {"documentCount": documents, "itemDocumentCount": lines})
-    # a job that dies after the data of the next version, and one that dies within its manifest
-    spark.range(9).write.parquet(str(tmp_path / "s/v-000000000003/documents"))
-    spark.range(9).write.parquet(str(tmp_path / "s/v-000000000004/manifest"))
-    (tmp_path / "s/v-000000000004/manifest/_SUCCESS").unlink()
-    assert store.version() == second and [t.count() for t in store.read()] == [3, 3]
-    assert store.state()["documentCount"] == store.state()["itemDocumentCount"] == 3
-    store.swap(*stored(spark, "d"))
-    assert [rows(t, "doc_id") for t in store.read()] == [[("d",)], [("d",)]] and store.state()["documentCount"] == 3
-    store.swap(*stored(spark, "e"))
-    assert store._versions() == [5, 6]  # what nothing refers to any more is retired
-    for n in (5, 6):
-        (tmp_path / f"s/v-{n:012d}/manifest/_SUCCESS").unlink()
-    with pytest.raises(ValueError, match="none is complete"):
-        store.read()
-
-
-def test_a_batch_rewrites_the_parts_it_touches_alone(spark, tmp_path):
-    store = tables.Snapshots(spark, str(tmp_path / "s"), parts=8)
-    ids = [f"d{i}" for i in range(60)]
-    documents, lines = stored(spark, *ids)
-    store.swap(documents, lines)
-    part = {r.doc_id: r.part for r in documents.select("doc_id", store.part_of().alias("part")).collect()}
-    landed = spark.createDataFrame([("d7", 5, 70, "new", "2025-01-02", "2025-01-03T00:00:00Z", [("9", 1.0, 1.0)])], schemas.DOCUMENT_JSON)
-    done = ingest.merge(store, landed, now=50)
-    assert (done.documents, done.lines, done.refused.count()) == (1, 1, 0)
-    assert {p.name for p in (tmp_path / "s/v-000000000002/documents").glob("part=*")} == {f"part={part['d7']}"}
-    held, after = store.read()
-    assert held.count() == 60 and held.where("doc_id = 'd7'").first().customer_id == "new"
-    assert rows(after.where("doc_id = 'd7'"), "item_id") == [("9",)] and after.count() == 60
-    assert store.state() == {"lastSync": 50, "lastFullSync": 50, "documentCount": 1, "itemDocumentCount": 1, "accountName": "main", "schemaVersion": 1}
-
-
 def test_sync_picks_full_or_delta(spark, tmp_path):
-    store = tables.Snapshots.of_account(spark, str(tmp_path), "My shop/1")
+    store = Snapshots.of_account(spark, str(tmp_path), "My shop/1")
     assert store.root.endswith("/My_shop_1") and ingest.needs_sync(None, "a", 0)
     docs = landing.read_documents(spark, land(tmp_path))
     moment = 1735862400  # of the older versions
