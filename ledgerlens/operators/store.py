@@ -92,6 +92,9 @@ def _inside(parts) -> Column:
 #: Seconds within which a job must commit what it derives from a version.
 HORIZON = 86_400
 
+#: Files of one part at most, about: so many tasks write it.
+FILES = 8
+
 _FIELDS = {"documents": schemas.STORED_DOCUMENTS, "lines": schemas.STORED_LINES}
 
 
@@ -243,7 +246,8 @@ class Snapshots:
         totals = []
         for table, rows in (("documents", documents), ("lines", lines)):
             path = f"{self.root}/{folder}/{table}"
-            dealt = rows.select(*_columns(_FIELDS[table]), _prefix(bits).alias("part")).repartition("part").sortWithinPartitions("part", "doc_id")
+            dealt = rows.select(*_columns(_FIELDS[table]), _prefix(bits).alias("part"))
+            dealt = dealt.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(FILES))).sortWithinPartitions("part", "doc_id")
             dealt.write.partitionBy("part").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(path)
             found = self.spark.read.schema(f"{_FIELDS[table]}, part long").parquet(path).groupBy("part").count().collect()  # from the files' footers; a row for each part
             totals.append(sum(r["count"] for r in found))
