@@ -4,12 +4,15 @@ Two documents are linked if their SimHash fingerprints link them (see `simhash`)
 distinct five-word shingles of both are shared.  Pairs of the second kind are found in three steps.  The least
 values of a text's shingles under 128 permutations are cut into 32 bands of four: texts that share four fifths of
 their shingles have no band in common in 5 of 100 million cases.  Texts that meet in a band are compared by their
-128 values; those that agree in 75 or more (four fifths would give 102, with a deviation of 4.5) make up groups of
-candidates.  Within each group the whole sets of shingles are compared, so no link rests on an estimate.
+128 values; those that agree in 75 or more (four fifths would give 102, with a deviation of 4.5) are candidates.  Whole
+sets of shingles are then compared, so no link rests on an estimate.
 
-Each text is fetched once, into its one group.  Bands and groups in which very many meet are dealt into cells of two
-chunks, as in `simhash`; in a cell a search from each found member over those not yet found gives a link to the
-first of each component instead of all pairs.  A group in which few are linked takes work with the square of its size.
+Candidates are found by a search from each found member over those not yet found, which gives a tree of pairs instead of all.
+Groups that these pairs connect are compared in one task each, to which every text is sent once, as long as the group's
+shingles make up one chunk.  A larger group, which may be a long chain of texts that are alike only from one to the next,
+is never brought together: its pairs are verified one by one, which joins what is truly alike, and only the texts that meet a
+candidate of another component in a band are compared further, among those of that band.  So work grows with the candidate
+pairs, not with the square of a group.  Bands in which very many meet are dealt into cells of two chunks, as in `simhash`.
 
 Defined results: words are those of the fingerprint; a text of fewer words than a shingle has is one shingle; texts
 without words are linked by their fingerprint 0; shingles are told apart by 64 bits; null, repeated and missing input as
@@ -32,7 +35,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, ROWS = 32, 4
 #: Of the values of two texts, how many agree at least in candidates.
 AGREE = 75
-#: Texts of one band in one cell's chunk, and shingles of one group.
+#: Texts of one band in one cell's chunk, and shingles that are compared in one chunk.
 BAND_CHUNK, GROUP_CHUNK = 4096, 1 << 20
 _BLOCK = 1 << 12
 _draw = np.random.default_rng(5)
@@ -112,41 +115,56 @@ def _cells(rows: DataFrame, mine, by: str) -> DataFrame:
     return dealt.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def _links_of(near_of):
-    """Links (src, dst) from rows (key, i, j, name, value) sorted by cell: `near_of` of a cell's values gives a function of one member and the members left that tells which are near."""
+def _per_cell(of_cell):
+    """`of_cell` of each stretch of rows (key, i, j, ...) that share the first three; the rows come sorted by these.
 
-    def of_cell(names: list, values: list) -> tuple[list, list]:
-        src, dst = [], []
-        if len(names) > 1:
-            near, left = near_of(values), np.arange(len(names))
-            while len(left) > 1:
-                root, left = left[0], left[1:]
-                front = [root]
-                while front and len(left):
-                    found = near(front.pop(), left)
-                    if found.any():
-                        src += [names[root]] * int(found.sum())
-                        dst += [names[k] for k in left[found]]
-                        front.extend(left[found])
-                        left = left[~found]
-        return src, dst
+    It takes the key and the lists of the other columns, and gives two lists of longs.
+    """
 
     def run(batches):
-        cell, names, values = None, [], []
+        cell, held = None, []
+
+        def done():
+            return of_cell(cell[0], [list(c) for c in zip(*held)]) if held else ([], [])
+
         for batch in batches:
             src, dst = [], []
-            for *at, name, value in (row for k in range(0, batch.num_rows, 256) for row in zip(*(batch.column(c).slice(k, 256).to_pylist() for c in range(5)))):
-                if at != cell:  # the last cell may go on in the next batch
-                    for out, more in zip((src, dst), of_cell(names, values)):
+            for row in (row for k in range(0, batch.num_rows, 256) for row in zip(*(c.slice(k, 256).to_pylist() for c in batch.columns))):
+                if row[:3] != cell:  # the last cell may go on in the next batch
+                    for out, more in zip((src, dst), done()):
                         out += more
-                    cell, names, values = at, [], []
-                names.append(name)
-                values.append(value)
+                    cell, held = row[:3], []
+                held.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-        src, dst = of_cell(names, values)
+        src, dst = done()
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return run
+    return lean(run)
+
+
+def _tree_of(near_of):
+    """Pairs of near members that connect what is near in a cell of rows (name, value).
+
+    `near_of` of a cell's values gives a function of one member and the members left that tells which are near.
+    """
+
+    def of_cell(_, columns: list) -> tuple[list, list]:
+        names, values = columns
+        src, dst = [], []
+        near, left = near_of(values), np.arange(len(names))
+        while len(left) > 1:
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                member = front.pop()
+                found = near(member, left)
+                if found.any():
+                    src += [names[member]] * int(found.sum())
+                    dst += [names[k] for k in left[found]]
+                    front.extend(left[found])
+                    left = left[~found]
+        return src, dst
+
+    return of_cell
 
 
 def _sketches_near(values: list):
@@ -174,45 +192,135 @@ def _sets_near(percent: int):
     return near_of
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Rows (node, group) of the texts (node, sketch, bands) that may have near copies: near ones share a group."""
+def _unresolved(key: int, columns: list) -> tuple[list, list]:
+    """The key and the name of each row (name, label, sketch) of a cell that has a candidate of another label there."""
+    names, labels, sketches = columns
+    labels = np.array(labels)
+    if (labels == labels[0]).all():
+        return [], []
+    near, all_ = _sketches_near(sketches), np.arange(len(names))
+    open_ = [n for k, n in enumerate(names) if (near(k, all_) & (labels != labels[k])).any()]
+    return [key] * len(open_), open_
+
+
+def _across(percent: int):
+    """Links between the labels of a cell's rows (name, label, sketch, set): one from each member to each other label that it joins."""
+
+    def of_cell(_, columns: list) -> tuple[list, list]:
+        names, labels, sketches, sets = columns
+        labels, src, dst = np.array(labels), [], []
+        near, alike = _sketches_near(sketches), _sets_near(percent)(sets)
+        for k in range(len(names) - 1):
+            left = np.arange(k + 1, len(names))
+            left = left[labels[left] != labels[k]]
+            left = left[near(k, left)]
+            for m in left[alike(k, left)] if len(left) else ():
+                if labels[m] != labels[k]:
+                    src.append(names[k])
+                    dst.append(names[m])
+                    labels[labels == labels[m]] = labels[k]
+        return src, dst
+
+    return of_cell
+
+
+def _verified(percent: int):
+    """Of rows (src, dst, set, set) the pairs whose sets are near."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(*(c.to_pylist() for c in batch.columns[2:])):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                alike = 100 * min(len(a), len(b)) >= percent * max(len(a), len(b))
+                shared = len(np.intersect1d(a, b, assume_unique=True)) if alike else 0
+                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return lean(run)
+
+
+_PAIR = "src long, dst long"
+
+
+def _met(texts: DataFrame) -> DataFrame:
+    """Rows (key, node, chunks) of the texts (node, bands) that meet another in a band."""
     looked = texts.select("node", F.explode("bands").alias("key"))
     counts = looked.groupBy("key").count().where("count > 1")
     chunks = written(counts.select("key", F.ceil(F.col("count") / BAND_CHUNK).cast("long").alias("chunks")))
-    met = written(looked.join(chunks.hint("merge"), "key"))  # merged at every size, as in simhash
-    cells = _cells(met.join(texts.select("node", "sketch"), "node"), F.xxhash64("node"), "key")
-    found = cells.select("key", "i", "j", "node", "sketch").mapInArrow(lean(_links_of(_sketches_near)), "src long, dst long")
-    return connected_components(found).withColumnRenamed("component", "group")
+    return looked.join(chunks.hint("merge"), "key")  # merged at every size, as in simhash
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of the texts (node, sketch, bands) that connect all candidates."""
+    cells = _cells(written(_met(texts)).join(texts.select("node", "sketch"), "node"), F.xxhash64("node"), "key")
+    return cells.select("key", "i", "j", "node", "sketch").mapInArrow(_per_cell(_tree_of(_sketches_near)), _PAIR)
 
 
 def _sets(batches):
-    """The shingles of the texts whose words are those that the row names."""
+    """The shingles of the texts whose words are those that the row names, once for each in one task."""
+    seen = set()
     for batch in batches:
-        group, bits, prints, texts = (batch.column(c) for c in range(4))
+        node, group, prints, texts = (batch.column(c) for c in range(4))
         for at in range(0, batch.num_rows, 256):
             rows = []
-            for g, b, p, t in zip(*(c.slice(at, 256).to_pylist() for c in (group, bits, prints, texts.cast(pa.binary())))):
+            for k, g, p, t in zip(*(c.slice(at, 256).to_pylist() for c in (node, group, prints, texts.cast(pa.binary())))):
                 words = t.lower().split()
-                if _print(words) == p:
+                if p not in seen and _print(words) == p:
+                    seen.add(p)
                     found = np.unique(shingles(words))
-                    rows.append((g, b, p, len(found), found.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], names=["group", "bits", "print", "n", "shingles"])
+                    rows.append((k, g, len(found), found.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["node", "group", "n", "shingles"])
+
+
+def _one_each(sets: DataFrame) -> DataFrame:
+    """`sets` with one row for each node, though rows of one text may have been read by several tasks."""
+    repeated = written(sets.groupBy("node").count().where("count > 1").select("node"))
+    if repeated.isEmpty():
+        return sets
+    once = sets.join(repeated, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("group", "n", "shingles")])
+    return written(sets.join(repeated, "node", "left_anti").unionByName(once))
+
+
+def _links_of_large(texts: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) of nodes that connect what is near in groups of more than one chunk.
+
+    `sets` has the rows (node, n, shingles) of these groups, `pairs` the candidate pairs.
+    """
+    one, two = (sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("src", "dst"))
+    tree = written(pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(_verified(percent), _PAIR))
+    labels = connected_components(tree).withColumnRenamed("component", "label")
+    own = written(texts.select("node", "sketch", "bands").join(sets.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    cells = _cells(_met(own).join(own.select("node", "label", "sketch"), "node"), F.xxhash64("node"), "key")
+    open_ = cells.select("key", "i", "j", "node", "label", "sketch").mapInArrow(_per_cell(_unresolved), "key long, node long").distinct()
+    rows = written(open_.join(sets, "node").join(own.select("node", "label", "sketch"), "node"))
+    chunks = written(rows.groupBy("key").agg(F.ceil(F.sum("n") / GROUP_CHUNK).cast("long").alias("chunks")))
+    cells = _cells(rows.join(chunks, "key"), F.xxhash64("node"), "key").select("key", "i", "j", "node", "label", "sketch", "shingles")
+    return tree.unionByName(cells.mapInArrow(_per_cell(_across(percent)), _PAIR))
 
 
 def links(docs: DataFrame, marked: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Links (src, dst) of fingerprints that connect the documents with at least `percent` of their shingles in common."""
     some = marked.where("print is not null").groupBy("print").agg(*[F.first(c).alias(c) for c in ("h", "bits", "sketch", "bands")])
     texts = written(some.withColumn("node", F.xxhash64("print")))
-    grouped = written(candidates(texts.select("node", "sketch", "bands")))
-    wanted = written(texts.select("node", "h", "bits", "print").join(grouped, "node").drop("node"))
+    pairs = written(candidates(texts.select("node", "sketch", "bands")).distinct())
+    grouped = written(connected_components(pairs).withColumnRenamed("component", "group"))
+    wanted = written(texts.select("node", "h", "print").join(grouped, "node"))
     few = wanted.count() <= BROADCAST_KEYS
     source = docs.select(F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    held = source.join(F.broadcast(wanted) if few else wanted, "h").select("group", "bits", "print", "text")
-    sets = written(held.mapInArrow(lean(_sets), "group long, bits long, print binary, n long, shingles binary"))
-    sizes = sets.groupBy("group").agg(F.sum("n").alias("all"), F.count("*").alias("count")).where("count > 1")
-    chunks = written(sizes.select("group", F.ceil(F.col("all") / GROUP_CHUNK).cast("long").alias("chunks")))
-    cells = _cells(sets.join(chunks, "group"), F.xxhash64("print"), "group").select("group", "i", "j", "bits", "shingles")
-    return cells.mapInArrow(lean(_links_of(_sets_near(percent))), "src long, dst long").where("src <> dst").distinct()
+    held = source.join(F.broadcast(wanted) if few else wanted, "h").select("node", "group", "print", "text")
+    sets = _one_each(written(held.mapInArrow(lean(_sets), "node long, group long, n long, shingles binary")))
+    sizes = written(sets.groupBy("group").agg(F.sum("n").alias("all"), F.count("*").alias("count")))
+    small = sizes.where(f"count > 1 and all <= {GROUP_CHUNK}").select("group", F.lit(1).cast("long").alias("chunks"))
+    cells = _cells(sets.join(small, "group"), F.lit(0).cast("long"), "group").select("group", "i", "j", "node", "shingles")
+    found = cells.mapInArrow(_per_cell(_tree_of(_sets_near(percent))), _PAIR)
+    large = sizes.where(F.col("all") > GROUP_CHUNK)
+    if not large.isEmpty():
+        own = written(sets.join(large.select("group"), "group", "left_semi").select("node", "n", "shingles"))
+        found = found.unionByName(_links_of_large(texts, own, pairs, percent))
+    bits = lambda name: texts.select(F.col("node").alias(name), F.col("bits").alias(f"{name}_bits"))
+    named = written(found).join(bits("src"), "src").join(bits("dst"), "dst")
+    return named.select(F.col("src_bits").alias("src"), F.col("dst_bits").alias("dst")).where("src <> dst").distinct()
 
 
 def _found(docs: DataFrame, doc_id: str, text: str, percent: int, radius: int) -> DataFrame:

@@ -55,6 +55,52 @@ def test_stage_drops_every_near_copy(spark, monkeypatch, band_chunk, group_chunk
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
 
 
+def test_one_set_for_each_text(spark, monkeypatch):
+    """Rows of one text make one set, wherever they are read."""
+    pick = random.Random(4)
+    base = [f"w{pick.randrange(5000)}" for _ in range(120)]
+    near = [*base[:60], "changed", *base[60:]]
+    rows = [(i, " ".join(base)) for i in range(3000)] + [(5000, " ".join(near)), (6000, "quite another text of its own words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counted, plain = [], nearcopies._one_each
+
+    def watched(sets):
+        once = plain(sets)
+        counted.append((sets.count(), once.count()))
+        return once
+
+    monkeypatch.setattr(nearcopies, "_one_each", watched)
+    found = nearcopies.components(docs).collect()
+    assert {r.component_id for r in found} == {0, 6000} and len(found) == len(rows)
+    assert counted == [(counted[0][0], 2)] and counted[0][0] <= 2 * 4  # of each text at most one a task
+
+
+def test_work_of_a_chain_grows_with_its_links(spark, monkeypatch):
+    """Texts that are alike at 0.7 from one to the next are one group of candidates, but never brought together."""
+    monkeypatch.setattr(nearcopies, "GROUP_CHUNK", 2000)
+    words = [f"w{k}" for k in range(120 + 20 * 400)]
+    texts = [" ".join(words[20 * i : 20 * i + 120]) for i in range(400)]  # neighbours share 96 of 136 shingles
+    texts += [" ".join([*t.split()[:-1], "end"]) for t in texts[::50]]
+    plain = nearcopies._verified
+    acc = spark.sparkContext.accumulator(0)
+
+    def counting(percent):
+        run = plain(percent)
+
+        def wrapped(batches):
+            for batch in batches:
+                acc.add(batch.num_rows)
+                yield from run([batch])
+
+        return wrapped
+
+    monkeypatch.setattr(nearcopies, "_verified", counting)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in nearcopies.components(docs).collect()}
+    assert found == {i: i if i < 400 else (i - 400) * 50 for i in range(len(texts))}
+    assert 100 < acc.value <= 3 * len(texts)
+
+
 def test_least_values_of_blocks(monkeypatch):
     sets = [np.random.default_rng(i).integers(0, 1 << 63, n).astype(np.uint64) for i, n in enumerate([3, 1, 40, 7, 100])]
     whole = nearcopies.least_values(sets)
