@@ -4,7 +4,8 @@ A document longer than a window is first cut into full windows and a rest.  Rest
 then placed, longest first, in the open window with the least room that still holds them, found in a segment
 tree indexed by remaining capacity.  Documents are dealt by hash into bins of some thousand pieces that are
 packed independently; a bin this large leaves little padding, and its packing depends on its rows alone, so a
-repeated task gives the same windows.
+repeated task gives the same windows.  Of rows that are alike in all that orders them, where there are very many, each is
+dealt by itself, so no bin outgrows its size.
 
 Defined results: a null text counts as empty and has the end token only; whole texts are packed, no
 token is dropped or repeated; repeated rows are packed each; columns beside those named are carried along; an
@@ -117,7 +118,7 @@ def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[st
     table = written(pieces.drop("sequence_id", "offset"))
     bins = buckets_for(table.count(), BIN_PIECES)
     schema = T.StructType([*table.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    (name,) = unused(table.columns, "_bin")
+    name, key, again = unused(table.columns, "_bin", "_key", "_again")
 
     def run(key: tuple, held: pa.Table) -> pa.Table:
         held = held.drop_columns(name)
@@ -126,5 +127,12 @@ def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[st
         at, offset = best_fit_decreasing(held[length].to_numpy(), window)
         return held.append_column("sequence_id", pa.array((key[0].as_py() << 32) + at)).append_column("offset", pa.array(offset))
 
-    dealt = table.withColumn(name, F.pmod(F.xxhash64(*order), F.lit(bins)))
+    mark = F.xxhash64(*order)
+    many = written(table.groupBy(mark.alias(key)).count().where(F.col("count") > BIN_PIECES // 8).select(key))
+    if many.isEmpty():
+        dealt = table.withColumn(name, F.pmod(mark, F.lit(bins)))
+    else:  # rows alike by the thousand are dealt by their place in the stored table too, which a repeated task finds again
+        hot = table.withColumn(key, mark).join(many.withColumn(again, F.lit(True)), key, "left")
+        spread = F.when(F.col(again), F.xxhash64(key, F.monotonically_increasing_id())).otherwise(F.col(key))
+        dealt = hot.withColumn(name, F.pmod(spread, F.lit(bins))).drop(key, again)
     return dealt.groupBy(name).applyInArrow(run, schema)

@@ -106,3 +106,13 @@ def test_packing_is_repeatable(spark):
     pieces = packing.tokenised_pieces(docs_of(spark), PATH, 256, 1).withColumn("check", F.crc32("ids")).drop("ids")
     once, again = (sorted(map(str, packing.pack(p, 256, order=("doc_id", "start", "check")).collect())) for p in (pieces, pieces.repartition(7)))
     assert once == again
+
+
+def test_rows_alike_are_dealt_over_all_bins(spark):
+    alike = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.lit(1) + F.col("id") * 0).alias("length"), F.lit("x").alias("_key"))
+    other = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 200 + 1).alias("length"), F.lit("y").alias("_key"))
+    found = packing.pack(alike.unionByName(other).repartition(6), 256)
+    rows = found.selectExpr("sequence_id", "sequence_id >> 32 as bin", "length", "offset", "_key").toPandas()
+    sizes = rows.groupby("bin").size()
+    assert len(rows) == 109_000 and len(sizes) == 14 and sizes.max() < 1.2 * packing.BIN_PIECES
+    assert rows.groupby("sequence_id").length.sum().max() <= 256 and not rows.duplicated(["sequence_id", "offset"]).any()
