@@ -42,15 +42,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_replicas(pages: DataFrame, per_archive: int = 500) -> tuple[DataFrame, DataFrame]:
     """Two replicas of records made of pages, hashed where they stand (archive, offset, length, body).
 
-    Runs of page ids stand in one archive, one after the other, and pages without an id in their own.  In the second replica
+    Runs of page ids stand in one archive, one after the other; pages without an id are dealt over 4,096 archives of their own.  In the second replica
     some records have a wrong last character, and some are lost, those without an id among them.
     """
     payload = F.concat(F.lit("WARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
     worn = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("left(payload, length(payload) - 1)"), F.lit("?"))).otherwise(F.col("payload"))
-    archive = F.coalesce(F.concat(F.lit("archive-"), F.floor(F.col("page_id") / per_archive).cast("string")), F.lit("archive-none"))
-    rows = pages.select("page_id", archive.alias("archive"), payload.alias("payload")).withColumn("worn", worn)
+    rows = pages.select("page_id", payload.alias("payload")).withColumn("worn", worn)
     hashed = lambda c: F.struct(F.octet_length(c).cast("long").alias("length"), F.sha2(F.col(c).cast("binary"), 256).alias("body"))
-    rows = rows.select("page_id", "archive", hashed("payload").alias("first"), hashed("worn").alias("second"))
+    rows = rows.select("page_id", hashed("payload").alias("first"), hashed("worn").alias("second"))
+    number = F.coalesce(F.floor(F.col("page_id") / per_archive).cast("string"), F.concat(F.lit("none-"), F.substring("first.body", 1, 3)))
+    rows = rows.withColumn("archive", F.concat(F.lit("archive-"), number))
     before = Window.partitionBy("archive").orderBy("page_id", "first.body").rowsBetween(Window.unboundedPreceding, -1)
     rows = written(rows.withColumn("offset", F.coalesce(F.sum("first.length").over(before), F.lit(0))))  # both have the same offsets
     return rows.select("archive", "offset", "first.*"), rows.where("page_id % 101 <> 7").select("archive", "offset", "second.*")

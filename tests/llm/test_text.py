@@ -222,4 +222,5 @@ def test_audit_of_pages_with_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     found = sorted((r.archive, r.status, r.left_length) for r in queries.op3_warc_audit(spark, str(tmp_path)).collect())
     head = len("WARC-Target-URI: u\r\n\r\n")
-    assert found == [("archive-0", "missing", head + 1), ("archive-none", "missing", head + 10), ("archive-none", "missing", head + 20)]
+    assert found[:1] == [("archive-0", "missing", head + 1)] and sorted(r[2] for r in found[1:]) == [head + 10, head + 20]
+    assert all(r[0].startswith("archive-none-") and r[1] == "missing" for r in found[1:])
