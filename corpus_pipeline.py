@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import exact, nearcopies, packing, queries, toxicity
-from ledgerlens.scratch import written
+from ledgerlens.scratch import scope
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     No documents give no rows.  Columns of `documents` may have any names; those of the stages' own are chosen apart.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    with scope(spark) as lasting:  # in which the stages' results stand but for the last
+        for number, (_, stage) in enumerate(STAGES, 1):
+            with scope(spark) as within:  # whatever a stage writes on its way
+                docs = (lasting if number == len(STAGES) else within)(stage(spark, docs, sf_dir))
     return docs

@@ -26,9 +26,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Applications whose folders are to be removed when their driver ends.
+_ending: set[str] = set()
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder name in the shared folder."""
-    return f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    """A new folder name in the application's own folder in the shared one, which is removed when the driver ends."""
+    own = f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if own not in _ending:
+        files, place = _place(spark, own)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _ending.add(own)
+    return f"{own}/table-{uuid.uuid4().hex}"
 
 
 #: Of the scopes that are open, from the outermost in, the tables written in each.
@@ -65,5 +80,5 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _open.reset(token)
         for path in own:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            files, place = _place(spark, path)
+            files.delete(place, True)
