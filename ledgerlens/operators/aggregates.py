@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import Window as Dates
@@ -114,24 +114,30 @@ def item_totals(by_customer: DataFrame) -> DataFrame:
     return by_customer.groupBy("item_id").agg(*total_sums())
 
 
+def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
+    """Rows with aggregates over their item: partial sums joined back, so an item of many rows is not brought together.
+
+    Both sides come from one shuffle of `rows`, and the join may split a large item.
+    """
+    return rows.join(rows.groupBy("item_id").agg(*totals), "item_id")
+
+
 def share_of_total(rows: DataFrame, value: Column, empty: float | None) -> DataFrame:
     """Rows with share: percent of the item's total of `value`, or `empty` where the total is 0."""
-    total = F.sum(value).over(Window.partitionBy("item_id"))
-    share = ratio(value, F.nullif(total, F.lit(0.0))) * 100
-    return rows.withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty)))
+    share = ratio(value, F.nullif("_total", F.lit(0.0))) * 100
+    return with_totals(rows, F.sum(value).alias("_total")).withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty))).drop("_total")
 
 
 def order_profile(sales: DataFrame, dates: Dates) -> DataFrame:
     """Invoice lines of each item: the columns of `order_sizes` and of `size_distribution`.
 
-    Lines are reduced to counts of each quantity first, so an item's window holds its distinct quantities alone.
+    Lines are reduced to counts of each quantity first, and an item's mean is joined back to these.
     """
     each = of_context(sales, 5, dates).groupBy("item_id", "quantity").agg(F.count("*").alias("n"), F.min("issue_date").alias("first_date"), F.max("issue_date").alias("last_date"))
-    item = Window.partitionBy("item_id")
     known = F.when(F.col("quantity").isNotNull(), F.col("n"))
-    whole = F.sum(F.expr("cast(quantity * n as decimal(38,4))")).over(item)
+    whole = F.sum(F.expr("cast(quantity * n as decimal(38,4))"))
     q, mean = F.col("quantity").cast("double"), F.col("avg_size")
-    rows = each.withColumn("avg_size", ratio(whole, F.sum(known).over(item)))
+    rows = with_totals(each, ratio(whole, F.sum(known)).alias("avg_size"))
     lines = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
     return rows.groupBy("item_id").agg(
         F.sum("n").alias("total_orders"), F.first("avg_size").alias("avg_size"), F.percentile(q, 0.5, F.col("n")).alias("median_size"), F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),

@@ -310,6 +310,14 @@ def _monthly(t: SalesTables) -> DataFrame:
     return reports._history(_sales(t), AS_OF)
 
 
+@_query
+def median_by_selection(spark, t):
+    """Exact medians of quantity and price of each item's lines, whatever their number."""
+    sales = _sales(t)
+    quantity, price = (st.exact_medians(sales, "item_id", c).withColumnRenamed("median", f"median_{c}") for c in ("quantity", "price"))
+    return quantity.join(price, "item_id")
+
+
 @_query
 def stat_growth_rate(spark, t):
     return _six(_monthly(t).select("item_id", stats.growth_rate(F.col("first"), F.col("last")).alias("growth")), "growth")
