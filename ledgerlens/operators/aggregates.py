@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import Window as Dates
 from ledgerlens.functions.numeric import quarters, ratio, trailing_days, trailing_months
+from ledgerlens.operators.selection import exact_medians
 
 
 def _amount() -> Column:
@@ -128,10 +129,11 @@ def share_of_total(rows: DataFrame, value: Column, empty: float | None) -> DataF
     return with_totals(rows, F.sum(value).alias("_total")).withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty))).drop("_total")
 
 
-def order_profile(sales: DataFrame, dates: Dates) -> DataFrame:
+def order_profile(sales: DataFrame, dates: Dates, by_selection: bool = False) -> DataFrame:
     """Invoice lines of each item: the columns of `order_sizes` and of `size_distribution`.
 
-    Lines are reduced to counts of each quantity first, and an item's mean is joined back to these.
+    Lines are reduced to counts of each quantity first, and an item's mean is joined back to these.  With `by_selection` the median
+    is found without a buffer that grows with an item's distinct quantities.
     """
     each = of_context(sales, 5, dates).groupBy("item_id", "quantity").agg(F.count("*").alias("n"), F.min("issue_date").alias("first_date"), F.max("issue_date").alias("last_date"))
     known = F.when(F.col("quantity").isNotNull(), F.col("n"))
@@ -139,10 +141,13 @@ def order_profile(sales: DataFrame, dates: Dates) -> DataFrame:
     q, mean = F.col("quantity").cast("double"), F.col("avg_size")
     rows = with_totals(each, ratio(whole, F.sum(known)).alias("avg_size"))
     lines = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
-    return rows.groupBy("item_id").agg(
-        F.sum("n").alias("total_orders"), F.first("avg_size").alias("avg_size"), F.percentile(q, 0.5, F.col("n")).alias("median_size"), F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+    found = rows.groupBy("item_id").agg(
+        F.sum("n").alias("total_orders"), F.first("avg_size").alias("avg_size"), *([] if by_selection else [F.percentile(q, 0.5, F.col("n")).alias("median_size")]), F.min(q).alias("min_size"), F.max(q).alias("max_size"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
         lines(q < mean / 2).alias("small"), lines((q >= mean / 2) & (q <= mean * 2)).alias("medium"), lines(q > mean * 2).alias("large"),
     )
+    if not by_selection:
+        return found
+    return found.join(exact_medians(each, "item_id", "quantity", "n").withColumnRenamed("median", "median_size"), "item_id", "left")
 
 
 def order_sizes(sales: DataFrame, dates: Dates) -> DataFrame:

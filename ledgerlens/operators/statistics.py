@@ -6,39 +6,11 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.functions import stats
 from ledgerlens.functions.numeric import js_round, ratio
 from ledgerlens.operators.aggregates import with_totals
-
-
-def exact_medians(rows: DataFrame, key: str, value: str, count: str | None = None) -> DataFrame:
-    """Rows (key, median): the exact median of a decimal or whole number, by selection, for groups of any size.
-
-    Values are taken as 64-bit whole numbers of their smallest unit.  Of the middle one (or two) the upper 16 bits are found
-    from counts by range, then the next 16 among the values of that range alone, and so on: no task or buffer holds more
-    than the counts of 65,536 ranges of a group.  Null values do not count; a group without values has no row; `count` says
-    how often a row counts.
-    """
-    kind = rows.schema[value].dataType
-    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
-    unit = F.col(value).cast("decimal(38,0)") if not scale else (F.col(value).cast(T.DecimalType(38, scale)) * F.lit(10**scale).cast("decimal(18,0)"))
-    values = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), unit.cast("long").alias("v")).agg((F.count("*") if count is None else F.sum(count)).cast("long").alias("n"))
-    whole = values.groupBy("key").agg(F.sum("n").alias("whole"))
-    middle = F.array(F.struct(F.lit(0).alias("which"), F.expr("(whole - 1) div 2").alias("at")), F.struct(F.lit(1).alias("which"), F.expr("whole div 2").alias("at")))
-    wanted = whole.where("whole > 0").select("key", F.explode(middle).alias("m")).select("key", "m.*")
-    for shift in (48, 32, 16, 0):
-        held = values.withColumn("range", F.shiftright("v", shift))
-        if shift == 48:
-            met = held.join(wanted, "key")
-        else:
-            met = held.join(wanted.withColumnRenamed("range", "above"), (held["key"] == F.col("_key")) & (F.shiftright("v", shift + 16) == F.col("above"))).drop("_key")
-        counts = met.groupBy("key", "which", "at", "range").agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("key", "which").orderBy("range"))
-        found = counts.withColumn("upto", upto).where("at < upto and at >= upto - n")
-        wanted = found.select(F.col("key") if shift == 0 else F.col("key").alias("_key"), "which", (F.col("at") - F.col("upto") + F.col("n")).alias("at"), "range")
-    return wanted.groupBy(F.col("key").alias(key)).agg((F.avg("range") / 10**scale).alias("median"))
+from ledgerlens.operators.selection import exact_medians
 
 
 def basic(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -63,8 +35,11 @@ def trend(quarters: DataFrame) -> DataFrame:
     return found.select("item_id", growth.alias("growth_rate"), "volatility", stats.momentum(F.col("c1"), F.col("cn"), F.col("changes")).alias("momentum"), stats.direction(growth, F.col("volatility")).alias("direction"))
 
 
-def price_profile(distribution: DataFrame) -> DataFrame:
-    """The columns of `price_stats` and of `discounts`: mean and mode are joined back to the prices, which are then grouped once."""
+def price_profile(distribution: DataFrame, by_selection: bool = False) -> DataFrame:
+    """The columns of `price_stats` and of `discounts`: mean and mode are joined back to the prices, which are then grouped once.
+
+    With `by_selection` the median too is found without a buffer that grows with an item's distinct prices.
+    """
     price = F.col("price").cast("double")
     q, pq = F.sum("exact_quantity"), F.sum(F.expr("cast(price * exact_quantity as decimal(38,8))"))
     best = F.max(F.struct("exact_quantity", (-F.col("price")).alias("minus")))
@@ -72,10 +47,12 @@ def price_profile(distribution: DataFrame) -> DataFrame:
     below = F.col("price") < F.col("mode_price")
     gap = F.expr("cast((mode_price - price) * exact_quantity as decimal(38,8))")
     found = rows.groupBy("item_id").agg(
-        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.first("centre").alias("avg_price"), F.median(price).alias("median_price"),
+        F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.first("centre").alias("avg_price"), *([] if by_selection else [F.median(price).alias("median_price")]),
         F.when(F.count("*") <= 1, 0.0).otherwise(F.sqrt(F.avg(F.pow(price - F.col("centre"), F.lit(2))))).alias("std_dev"),
         F.first("mode_price").alias("mode"), F.coalesce(F.sum(F.when(below, F.col("exact_quantity"))), F.lit(0)).alias("low"), F.sum("exact_quantity").alias("total"), F.sum(F.when(below, gap)).alias("gap"),
     )
+    if by_selection:
+        found = found.join(exact_medians(distribution, "item_id", "price").withColumnRenamed("median", "median_price"), "item_id", "left")
     has = (F.col("low") > 0) & (F.col("total") > 0)
     pct = ratio(F.col("gap"), F.col("mode").cast("double") * F.col("low").cast("double")) * 100
     return found.select(

@@ -15,6 +15,7 @@ from ledgerlens.functions.text import int_list, periods_of, safe_name
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import facts, lookups, matching, tables, validate
 from ledgerlens.operators import statistics as st
+from ledgerlens.operators.selection import exact_medians
 from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import reports
 from ledgerlens.sources import landing
@@ -314,7 +315,7 @@ def _monthly(t: SalesTables) -> DataFrame:
 def median_by_selection(spark, t):
     """Exact medians of quantity and price of each item's lines, whatever their number."""
     sales = _sales(t)
-    quantity, price = (st.exact_medians(sales, "item_id", c).withColumnRenamed("median", f"median_{c}") for c in ("quantity", "price"))
+    quantity, price = (exact_medians(sales, "item_id", c).withColumnRenamed("median", f"median_{c}") for c in ("quantity", "price"))
     return quantity.join(price, "item_id")
 
 

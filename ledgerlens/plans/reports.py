@@ -103,9 +103,10 @@ def inventory(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def pricing(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
+def pricing(sales: DataFrame, items: DataFrame, as_of: date, by_selection: bool = False) -> DataFrame:
+    """Prices of a year; `by_selection` finds medians for items of any number of distinct prices."""
     prices = agg.price_distribution(sales, trailing_months(as_of, 12))
-    rows = _for_all(items, st.price_profile(prices))
+    rows = _for_all(items, st.price_profile(prices, by_selection))
     two = [js_round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("min_price", "max_price", "avg_price", "median_price", "std_dev")]
     return rows.select(
         "item_id", "item_name", *two, js_round(F.coalesce("variance_pct", F.lit(0.0)), 1).alias("variance_pct"), _or("has_discounts", False), js_round(F.col("avg_discount_pct"), 1).alias("avg_discount_pct"), js_round(F.coalesce("discount_frequency", F.lit(0.0)), 3).alias("discount_frequency")
@@ -168,9 +169,10 @@ def forecast_months(sales: DataFrame, items: DataFrame, as_of: date, count: int
     return rows.select("item_id", "next.month", "predicted_quantity", js_round(F.col("predicted_quantity") * F.coalesce("revenue_per_unit", F.lit(0.0)), 2).alias("predicted_revenue"), stats.confidence(F.coalesce("volatility", F.lit(0.0)), F.coalesce("points", F.lit(0))).alias("confidence"))
 
 
-def patterns(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
+def patterns(sales: DataFrame, items: DataFrame, as_of: date, by_selection: bool = False) -> DataFrame:
+    """Order sizes and outcomes of a year; `by_selection` as in `pricing`."""
     year = trailing_months(as_of, 12)
-    sizes = agg.order_profile(sales, year)
+    sizes = agg.order_profile(sales, year, by_selection)
     rows = _for_all(items, sizes.withColumn("frequency_days", st.days_between_orders()), matching.outcomes(matching.match_estimates(sales, year), as_of))
     zero = [_or(c, 0) for c in ("total_orders", "small", "medium", "large")]
     two = [js_round(F.coalesce(c, F.lit(0.0)), 2).alias(c) for c in ("avg_size", "median_size")]

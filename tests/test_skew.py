@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import trailing_months
 from ledgerlens.operators import aggregates as agg
-from ledgerlens.operators import statistics as st
+from ledgerlens.operators.selection import exact_medians
 from ledgerlens.plans import reports
 from ledgerlens.sources.adapter import AS_OF
 
@@ -67,9 +67,18 @@ def test_medians_by_selection(spark, skewed):
         for k, v, n in rows:
             if v is not None and k is not None:
                 want[k] += [v] * (n if count else 1)
-        found = {r.k: r.median for r in st.exact_medians(table, "k", "v", count).collect()}
+        found = {r.k: r.median for r in exact_medians(table, "k", "v", count).collect()}
         assert found == {k: float(median(v)) for k, v in want.items()}
     sales, _ = skewed
     plain = {r.item_id: r.m for r in sales.groupBy("item_id").agg(F.median(F.col("price").cast("double")).alias("m")).collect()}
-    found = {r.item_id: r.median for r in st.exact_medians(sales, "item_id", "price").collect()}
+    found = {r.item_id: r.median for r in exact_medians(sales, "item_id", "price").collect()}
     assert found.keys() == plain.keys() and all(found[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
+
+
+def test_reports_with_medians_by_selection(skewed):
+    sales, items = skewed
+    for report in (reports.pricing, reports.patterns):
+        own, plain = (sorted(map(str, report(sales, items, AS_OF, by_selection=x).collect())) for x in (True, False))
+        assert own == plain
+    text = plan(reports.pricing(sales, items, AS_OF, by_selection=True))[0]
+    assert "median(" not in text and "percentile" not in text
