@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions.numeric import Window as Dates
 
@@ -64,3 +65,33 @@ def page(rows: DataFrame, key: str, number: int, size: int) -> DataFrame:
     """One page of the rows in the order of a unique key, by offset and limit: the plan keeps number * size rows at most."""
     return rows.orderBy(key).offset((number - 1) * size).limit(size)
 
+
+def page_after(rows: DataFrame, key: str, last, size: int) -> DataFrame:
+    """The page that follows a key (None: the first page) in the order of a unique key: a filter, and `size` rows kept."""
+    return (rows if last is None else rows.where(F.col(key) > F.lit(last))).orderBy(key).limit(size)
+
+
+def distant_page(rows: DataFrame, key: str, number: int, size: int, ranges: int = 1024, held: int = 10_000) -> DataFrame:
+    """`page` by a unique whole-number key, for pages far from the first: about `held` rows are kept, whatever the number.
+
+    Rows are counted by ranges of the key, then by ranges of the one in which the page begins, until that has few rows.
+    """
+    if not isinstance(rows.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} is no whole number: go from page to page with page_after")
+    skip = (number - 1) * size
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.limit(0)
+    while True:
+        width = -(-(high - low + 1) // ranges)
+        place = F.expr(f"cast((cast(`{key}` as decimal(20,0)) - {low}BD) div {width}BD as int)")
+        counts = rows.where(F.col(key).between(low, high)).groupBy(place.alias("range")).agg(F.count("*").alias("n")).collect()  # `ranges` rows at most
+        for r in sorted(counts):
+            if skip < r.n:
+                low, high = low + r.range * width, min(high, low + (r.range + 1) * width - 1)
+                break
+            skip -= r.n
+        else:
+            return rows.limit(0)
+        if r.n <= held or width == 1:
+            return rows.where(F.col(key) >= low).orderBy(key).offset(skip).limit(size)

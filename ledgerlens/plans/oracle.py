@@ -270,6 +270,9 @@ select 'N' || doc_id, case when n % 30 <> 0 then customer_id end, issue_date, ca
         "sync_state": "select cast(996620400 as bigint) as lastSync, cast(996620400 as bigint) as lastFullSync, (select count(*) from headers) as documentCount, (select count(*) from item_lines) as itemDocumentCount, 'main' as accountName, 1 as schemaVersion",
         "sync_full": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",
         "median_by_selection": "select item_id, cast(median(cast(quantity as double)) as double) as median_quantity, cast(median(cast(price as double)) as double) as median_price from sales group by item_id",
+        "list_documents_distant_page": "select doc_number * 20 + context_id as place, doc_id, issue_date from headers order by place limit 25 offset ((select count(*) from headers) // 50 - 1) * 25",
+        "list_items_after": "select id, name from items where id > 40 order by id limit 30",
+        "join_bucketed_lines": "select item_id, doc_id, cast(quantity as double) as quantity, cast(price as double) as price, context_id, customer_id from sales",
         "sync_removals": "select h.doc_id, h.customer_id, count(*) as n_lines from headers h join item_lines l on l.doc_id = h.doc_id where h.doc_number % 7 <> 0 group by h.doc_id, h.customer_id",
         "stored_documents_by_id": "select h.doc_id, h.issue_date, h.customer_id, count(*) as n_lines, cast(sum(quantity) as double) as quantity from headers h join item_lines l on l.doc_id = h.doc_id where h.doc_number % 50 = 0 group by h.doc_id, h.issue_date, h.customer_id",
         "stream_ingest_documents": f"select {_HEAD} from headers where doc_number in (select l_orderkey from priced)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,7 +19,7 @@ from ledgerlens.operators import statistics as st
 from ledgerlens.operators.selection import exact_medians
 from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import reports
-from ledgerlens.sources import landing
+from ledgerlens.sources import bucketed, landing
 from ledgerlens.sources.adapter import AS_OF, SalesTables, sales_tables
 from ledgerlens.streaming import ingest
 
@@ -99,6 +100,29 @@ def list_items_page(spark, t):
     return lookups.page(t.items, "id", 3, 25).select(_ITEM)
 
 
+@_query
+def list_documents_distant_page(spark, t):
+    """A page of headers from far behind the first, in the order of a number that each has alone."""
+    rows = t.documents.withColumn("place", F.col("doc_number") * 20 + F.col("context_id"))
+    size = 25
+    return lookups.distant_page(rows, "place", t.documents.count() // (2 * size), size).select("place", "doc_id", "issue_date")
+
+
+@_query
+def list_items_after(spark, t):
+    """The page of items after a key."""
+    return lookups.page_after(t.items.select("id", "name"), "id", 40, 30)
+
+
+@_query
+def join_bucketed_lines(spark, t):
+    """Lines with their headers from tables bucketed by document."""
+    name = f"sales_{uuid.uuid4().hex}"
+    bucketed.save(t.documents, t.lines, name, 8, scratch.folder(spark))
+    documents, lines = bucketed.read(spark, name)
+    return plain(facts.sales_lines(lines, documents).select("item_id", "doc_id", "quantity", "price", "context_id", "customer_id"))
+
+
 @_query
 def list_customers(spark, t):
     return lookups.listed(t.customers, ("name", "office_email"), "7", 20000, context_id=2)

@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-test-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-test-"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens import schemas, scratch
 from ledgerlens.functions.text import int_list, periods_of, safe_name
-from ledgerlens.operators import lookups, tables, validate
+from ledgerlens.operators import facts, lookups, tables, validate
 from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import oracle, registry
-from ledgerlens.sources import landing
+from ledgerlens.sources import bucketed, landing
 from ledgerlens.streaming import ingest
 
 
@@ -165,6 +165,40 @@ def test_lists_and_pages(spark):
     assert lookups.page(held, "id", 4, 4).count() == 0
 
 
+@pytest.mark.parametrize("ranges, held", [(1024, 10_000), (3, 5), (2, 1)])
+def test_distant_pages_equal_pages_by_offset(spark, ranges, held):
+    keys = [*range(0, 300, 7), *range(10**12, 10**12 + 90), -(2**60), 2**61]
+    rows = spark.createDataFrame([(k, str(k)) for k in keys], "id long, name string").repartition(3)
+    for number in (1, 2, 7, 13, 14, 15, 400):
+        want = [r.id for r in lookups.page(rows, "id", number, 10).collect()]
+        assert [r.id for r in lookups.distant_page(rows, "id", number, 10, ranges, held).collect()] == want
+    assert lookups.distant_page(rows.limit(0), "id", 1, 10).count() == 0
+    with pytest.raises(ValueError):
+        lookups.distant_page(rows, "name", 1, 10)
+    last, found = None, []
+    while page := lookups.page_after(rows, "id", last, 40).collect():
+        found += [r.id for r in page]
+        last = found[-1]
+    assert found == sorted(keys)
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    documents = spark.createDataFrame([(f"d{i}", 5, i, None, "c", 10) for i in range(50)], schemas.DOCUMENTS)
+    lines = documents.selectExpr("'1' as item_id", "doc_id", f"cast(2 as {schemas.MONEY}) as quantity", f"cast(3 as {schemas.MONEY}) as price")
+    bucketed.save(documents, lines, "test_bucketed", 4)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        held = bucketed.read(spark, "test_bucketed")
+        joined = facts.sales_lines(held[1], held[0])
+        text = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "Exchange" not in text and joined.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        for table in ("documents", "lines"):
+            spark.sql(f"drop table test_bucketed_{table}")
+
+
 def test_context_reasons(spark):
     held = spark.createDataFrame([("5",), ("8",), ("x",), (None,)], "c string")
     found = [r[0] for r in held.select(validate.context_reason(F.col("c"))).collect()]
