@@ -10,8 +10,9 @@ sets of shingles are then compared, so no link rests on an estimate.
 Candidates are found by a search from each found member over those not yet found, which gives a tree of pairs instead of all.
 Groups that these pairs connect are compared in one task each, to which every text is sent once, as long as the group's
 shingles make up one chunk.  A larger group, which may be a long chain of texts that are alike only from one to the next,
-is never brought together: its pairs are verified one by one, which joins what is truly alike, and only the texts that meet a
-candidate of another component in a band are compared further, among those of that band.  So work grows with the candidate
+is never brought together: of its pairs as many as connect it are verified, which joins what is truly alike, then as many as could
+join what is still apart, and only the texts that meet a candidate of another component in a band are compared further, among
+those of that band.  So work grows with the candidate
 pairs, not with the square of a group.  Bands in which very many meet are dealt into cells of two chunks, as in `simhash`.
 
 Defined results: words are those of the fingerprint; a text of fewer words than a shingle has is one shingle; texts
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import simhash
-from ledgerlens.llm.shared import BROADCAST_KEYS, connected_components, for_python, lean, one_of_each
+from ledgerlens.llm.shared import BROADCAST_KEYS, connected_components, for_python, lean, one_of_each, spanning_forest
 from ledgerlens.scratch import scope, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -36,7 +37,9 @@ BANDS, ROWS = 32, 4
 #: Of the values of two texts, how many agree at least in candidates.
 AGREE = 75
 #: Texts of one band in one cell's chunk, and shingles that are compared in one chunk.
-BAND_CHUNK, GROUP_CHUNK = 4096, 1 << 20
+BAND_CHUNK, GROUP_CHUNK = 4096, 1 << 17
+#: Pairs of one node that one task verifies, about, and rounds in which pairs of large groups are verified.
+PAIRS, TREES = 4096, 3
 _BLOCK = 1 << 12
 _draw = np.random.default_rng(5)
 _XOR = _draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -282,21 +285,43 @@ def _one_each(sets: DataFrame) -> DataFrame:
     return written(sets.join(repeated, "node", "left_anti").unionByName(once))
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """`pairs` with the set of one end; a node of very many pairs is sent to several tasks."""
+    many = written(pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")).where("parts > 1"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")
+    dealt = pairs.join(many, end, "left").withColumn("part", part).drop("parts")
+    held = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")).join(many, end, "left")
+    return dealt.join(held.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"), [end, "part"]).drop("part")
+
+
 def _links_of_large(texts: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links (src, dst) of nodes that connect what is near in groups of more than one chunk.
 
-    `sets` has the rows (node, n, shingles) of these groups, `pairs` the candidate pairs.
+    `sets` has the rows (node, n, shingles) of these groups, `pairs` the candidate pairs.  Pairs are verified in rounds, in each only as
+    many as could connect what is not connected yet.
     """
-    one, two = (sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set")) for name in ("src", "dst"))
-    tree = written(pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(_verified(percent), _PAIR))
-    labels = connected_components(tree).withColumnRenamed("component", "label")
-    own = written(texts.select("node", "sketch", "bands").join(sets.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labels = sets.select("node", F.col("node").alias("label"))
+    left, linked = pairs.join(sets.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst"), None
+    for _ in range(TREES):
+        of = lambda end, name: labels.select(F.col("node").alias(end), F.col("label").alias(name))  # noqa: E731, B023
+        tree = written(spanning_forest(left.join(of("src", "a"), "src").join(of("dst", "b"), "dst")))
+        if tree.isEmpty():
+            break
+        found = written(_with_sets(_with_sets(tree, sets, "src", "dst"), sets, "dst", "src").select("src", "dst", "src_set", "dst_set").mapInArrow(_verified(percent), _PAIR))
+        linked = found if linked is None else linked.unionByName(found)
+        joined = connected_components(linked).withColumnRenamed("component", "label")
+        labels = written(sets.select("node").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        left = written(left.join(tree, ["src", "dst"], "left_anti"))
+    own = written(texts.select("node", "sketch", "bands").join(labels, "node"))
     cells = _cells(_met(own).join(own.select("node", "label", "sketch"), "node"), F.xxhash64("node"), "key")
-    open_ = cells.select("key", "i", "j", "node", "label", "sketch").mapInArrow(_per_cell(_unresolved), "key long, node long").distinct()
+    open_ = written(cells.select("key", "i", "j", "node", "label", "sketch").mapInArrow(_per_cell(_unresolved), "key long, node long").distinct())
+    if open_.isEmpty():
+        return open_.selectExpr("key as src", "node as dst") if linked is None else linked
     rows = written(open_.join(sets, "node").join(own.select("node", "label", "sketch"), "node"))
     chunks = written(rows.groupBy("key").agg(F.ceil(F.sum("n") / GROUP_CHUNK).cast("long").alias("chunks")))
     cells = _cells(rows.join(chunks, "key"), F.xxhash64("node"), "key").select("key", "i", "j", "node", "label", "sketch", "shingles")
-    return tree.unionByName(cells.mapInArrow(_per_cell(_across(percent)), _PAIR))
+    across = cells.mapInArrow(_per_cell(_across(percent)), _PAIR)
+    return across if linked is None else linked.unionByName(across)
 
 
 def links(docs: DataFrame, marked: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:

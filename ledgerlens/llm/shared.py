@@ -113,3 +113,26 @@ def connected_components(edges: DataFrame, source: str = "src", target: str = "d
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     least = written(labels.groupBy("label").agg(F.min("node").alias("component")))
     return labels.join(least, "label").select("node", "component")
+
+
+def spanning_forest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, src, dst) the (src, dst) of about as many as there are nodes: those that connect all that a and b connect.
+
+    The contraction of `connected_components`, in which every node's choice is a pair that is taken.  Pairs with a = b are left out.
+    """
+    least, greatest = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    one_each = lambda rows: rows.where("a <> b").select(least, greatest, F.struct("src", "dst").alias("pair")).groupBy("a", "b").agg(F.min("pair").alias("pair")).select("a", "b", "pair.*")
+    live, taken, turn = written(one_each(pairs)), None, 0
+    while not live.isEmpty():
+        turn += 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("at"), F.col(c).alias("node"))  # noqa: E731, B023
+        near = lambda c: F.struct(order(c).alias("to"), "src", "dst").alias("near")  # noqa: E731, B023
+        ends = live.select("a", near("b")).unionByName(live.select(F.col("b").alias("a"), near("a")))
+        chosen = ends.groupBy("a").agg(F.min("near").alias("near")).withColumn("moves", F.col("near.to") < order("a"))
+        chosen = written(chosen.select("a", F.when(F.col("moves"), F.col("near.to.node")).otherwise(F.col("a")).alias("to"), F.when(F.col("moves"), F.col("near.src")).alias("src"), F.when(F.col("moves"), F.col("near.dst")).alias("dst")))
+        picked = chosen.where("src is not null").select("src", "dst")
+        taken = picked if taken is None else taken.unionByName(picked)
+        to = chosen.select("a", "to")
+        moved = live.join(to, "a").select(F.col("to").alias("a"), "b", "src", "dst").join(to.select(F.col("a").alias("b"), F.col("to").alias("b_to")), "b")
+        live = written(one_each(moved.select("a", F.col("b_to").alias("b"), "src", "dst")))
+    return live.select("src", "dst") if taken is None else taken.distinct()

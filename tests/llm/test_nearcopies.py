@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from ledgerlens.llm import nearcopies, simhash
+from ledgerlens.llm.shared import spanning_forest
 
 
 def shingles_of(text):
@@ -98,7 +99,33 @@ def test_work_of_a_chain_grows_with_its_links(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in nearcopies.components(docs).collect()}
     assert found == {i: i if i < 400 else (i - 400) * 50 for i in range(len(texts))}
-    assert 100 < acc.value <= 3 * len(texts)
+    assert 100 < acc.value <= 2 * len(texts)
+
+
+def test_a_forest_connects_what_the_pairs_connect(spark):
+    pick = random.Random(8)
+    pairs = [(pick.randrange(60) + 100 * k, pick.randrange(60) + 100 * k) for k in range(5) for _ in range([0, 20, 60, 300, 1500][k])]
+    pairs += [(1000, n) for n in range(1001, 1200)]  # a star
+    table = spark.createDataFrame([(*p, *p) for p in pairs], "a long, b long, src long, dst long")
+
+    def parts(edges):
+        root = {n: n for p in pairs for n in p}
+
+        def find(n):
+            while root[n] != n:
+                n = root[n]
+            return n
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {n: find(n) for n in root}
+
+    def same(a, b):
+        return {frozenset(n for n in a if a[n] == r) for r in a.values()} == {frozenset(n for n in b if b[n] == r) for r in b.values()}
+
+    found = [tuple(r) for r in spanning_forest(table).collect()]
+    assert set(found) <= set(pairs) and same(parts(found), parts(pairs)) and len(found) <= 1.3 * len({n for p in pairs for n in p})
+    assert spanning_forest(table.where("a = b")).count() == 0
 
 
 def test_least_values_of_blocks(monkeypatch):
