@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens import schemas
+from ledgerlens import schemas, scratch
 from ledgerlens.operators import store as stores
 from ledgerlens.operators.store import Conflict, Snapshots
 from ledgerlens.streaming import ingest
@@ -173,7 +173,7 @@ def test_documents_gone_at_source_vanish_on_demand(spark, tmp_path):
 
 
 def test_merges_leave_the_refused_alone(spark, tmp_path):
-    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    shared = Path(scratch.folder(spark)).parent
     store = Snapshots(spark, str(tmp_path / "s"))
     before = {f.name for f in shared.iterdir()}
     for turn in range(10):
