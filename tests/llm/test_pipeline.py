@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from ledgerlens.llm import queries
+from ledgerlens.scratch import written
 
 
 def test_pipeline_on_planted_cases(spark, tmp_path):
@@ -20,7 +21,7 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)))
+        docs = written(stage(spark, docs, str(tmp_path)))
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept[0] == {i for i, _ in clean + exact + near}
