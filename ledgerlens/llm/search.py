@@ -201,10 +201,10 @@ def _ranked(docs: DataFrame, terms: list, k: int) -> DataFrame:
     scored = classes.select("h", "m", "bag", "least").mapInArrow(lean(_scores(spark.sparkContext.broadcast(mine), weights, k)), f"item long, score long, h long, m long, bag binary, least {kind}")
     best = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("least"), "h"))
     top = written(scored.withColumn("at", best).where(F.col("at") <= k).drop("at", "least"))
-    chosen = top.select("h", "m", "bag").distinct()
+    chosen = top.select("h", "m").distinct()  # bags that share both with a chosen one drop out below
     chosen = F.broadcast(chosen) if len(names) * k <= BROADCAST_KEYS else chosen
     within = F.row_number().over(Window.partitionBy("h", "m", "bag").orderBy(F.asc_nulls_last("doc_id")))
-    members = some.join(chosen, ["h", "m", "bag"]).select("h", "m", "bag", "doc_id").withColumn("at", within).where(F.col("at") <= k)
+    members = some.join(chosen, ["h", "m"], "left_semi").select("h", "m", "bag", "doc_id").withColumn("at", within).where(F.col("at") <= k)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "h"))
     ranked = top.join(members.drop("at"), ["h", "m", "bag"]).withColumn("rank", rank).where(F.col("rank") <= k)
     item = spark.createDataFrame(list(enumerate(names)), f"item long, item_id {terms[0].kind}")
