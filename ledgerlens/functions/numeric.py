@@ -21,6 +21,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def exact_sum(value: Column, places: int = 8) -> Column:
+    """Sum of doubles as decimals of so many places: the same in whatever order tasks bring them, as a sum of doubles is not."""
+    return F.sum(value.cast(f"decimal(38,{places})")).cast("double")
+
+
 def months_back(as_of: date, months: int) -> date:
     """The date so many calendar months earlier; days past the end of that month run over into the next."""
     count = as_of.year * 12 + as_of.month - 1 - months

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import ratio
+from ledgerlens.functions.numeric import exact_sum, ratio
 
 #: Thresholds of the rules.
 MOMENTUM_STEP = 0.05
@@ -69,4 +69,4 @@ def days_between(a: Column, b: Column) -> Column:
 
 def herfindahl(share: Column) -> Column:
     """Sum of squared shares given in percent; 0 without shares."""
-    return F.coalesce(F.sum(F.pow(share / 100, F.lit(2))), F.lit(0.0))
+    return F.coalesce(exact_sum(F.pow(share / 100, F.lit(2)), 18), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
-from ledgerlens.functions.numeric import js_round, ratio
+from ledgerlens.functions.numeric import exact_sum, js_round, ratio
 from ledgerlens.operators.aggregates import with_totals
 from ledgerlens.operators.selection import exact_medians
 
@@ -80,7 +80,7 @@ def concentration(shares: DataFrame, *more, tops: tuple[int, ...] = (3, 5)) -> D
     # each task keeps the first of an item before they meet, so an item of many customers is not ranked in one task
     first = shares.select("item_id", "customer_id", "share").withColumn("rank", rank).where(F.col("rank") <= max(tops))
     # an item's unknown shares (its total is 0) make its top shares unknown too, its index stays 0
-    sums = [F.sum(F.when(F.col("rank") <= n, F.col("share"))).alias(f"top_{n}_share") for n in tops]
+    sums = [exact_sum(F.when(F.col("rank") <= n, F.col("share")), 18).alias(f"top_{n}_share") for n in tops]
     whole = shares.groupBy("item_id").agg(stats.herfindahl(F.col("share")).alias("herfindahl"), *more)
     return whole.join(first.groupBy("item_id").agg(*sums), "item_id")
 
