@@ -39,6 +39,15 @@ def volatility(x: Column) -> Column:
     return F.when(mean(x) == 0, F.lit(0.0)).otherwise(stddev(x) / F.abs(mean(x)))
 
 
+def exact_volatility(x: Column) -> Column:
+    """`volatility` of values of up to four decimal places from exact sums, the same in any order; that of doubles where these would not fit."""
+    d = x.try_cast("decimal(18,4)")
+    n, s = F.count(x), F.sum(d).try_cast("decimal(18,4)")
+    gap = n.try_cast("decimal(10,0)") * F.sum(d * d).try_cast("decimal(27,8)") - s * s
+    exact = F.sqrt(gap.cast("double")) / n / F.abs(mean(x))
+    return F.when(mean(x) == 0, F.lit(0.0)).otherwise(F.coalesce(F.when(F.count(d) == n, exact), volatility(x)))
+
+
 def growth_rate(earliest: Column, latest: Column) -> Column:
     """Relative change; from 0 it is 1 if there is growth, else 0."""
     return F.when(earliest == 0, F.when(latest > 0, 1.0).otherwise(0.0)).otherwise((latest - earliest) / earliest)

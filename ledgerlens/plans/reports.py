@@ -147,7 +147,7 @@ def _history(sales: DataFrame, as_of: date) -> DataFrame:
     months = agg.sales_by_month(sales, trailing_months(as_of, 6))
     q = F.col("total_quantity")
     return months.groupBy("item_id").agg(
-        F.count("*").alias("points"), stats.mean(q).alias("mean"), stats.volatility(q).alias("volatility"), F.min_by(q, F.col("month")).alias("first"), F.max_by(q, F.col("month")).alias("last"),
+        F.count("*").alias("points"), stats.mean(q).alias("mean"), stats.exact_volatility(q).alias("volatility"), F.min_by(q, F.col("month")).alias("first"), F.max_by(q, F.col("month")).alias("last"),
         ratio(F.sum(F.col("total_revenue").cast("decimal(38,8)")), F.sum(q.cast("decimal(38,4)"))).alias("revenue_per_unit"),
     ).withColumn("growth", F.when(F.col("points") >= 2, stats.growth_rate(F.col("first"), F.col("last"))).otherwise(0.0))
 

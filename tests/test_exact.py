@@ -26,3 +26,11 @@ def test_totals_and_top_shares(spark):
     assert spark.range(10).coalesce(1).agg(stats.herfindahl(F.sqrt(F.lit(1000.0))).alias("h")).first().h == 1.0
 
 
+def test_volatility_at_a_border(spark):
+    """Four months with a spread of exactly 0.2 of their mean, in either order, and values too large for exact squares."""
+    for months in ([8.0, 12.0, 8.0, 12.0], [12.0, 12.0, 8.0, 8.0], [0.8, 1.2, 1.2, 0.8]):
+        rows = spark.createDataFrame([(x,) for x in months], "q double").coalesce(1)
+        assert rows.agg(stats.exact_volatility(F.col("q")).alias("v")).first().v == 0.2
+    large = spark.createDataFrame([(1e20,), (3e20,)], "q double")
+    assert abs(large.agg(stats.exact_volatility(F.col("q")).alias("v")).first().v - 0.5) < 1e-12
+    assert spark.createDataFrame([(0.0,)], "q double").agg(stats.exact_volatility(F.col("q")).alias("v")).first().v == 0.0
