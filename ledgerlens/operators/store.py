@@ -248,7 +248,7 @@ class Snapshots:
             path = f"{self.root}/{folder}/{table}"
             dealt = rows.select(*_columns(_FIELDS[table]), _prefix(bits).alias("part"))
             dealt = dealt.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(FILES))).sortWithinPartitions("part", "doc_id")
-            dealt.write.partitionBy("part").option("parquet.bloom.filter.enabled#doc_id", "true").parquet(path)
+            dealt.write.partitionBy("part").option("parquet.bloom.filter.enabled#doc_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
             found = self.spark.read.schema(f"{_FIELDS[table]}, part long").parquet(path).groupBy("part").count().collect()  # from the files' footers; a row for each part
             totals.append(sum(r["count"] for r in found))
             for r in found:
