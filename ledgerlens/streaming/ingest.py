@@ -24,6 +24,15 @@ class Merged:
     refused: DataFrame
 
 
+def _latest(dated: DataFrame) -> DataFrame:
+    """The latest version of each document; whole rows are dealt by id only where an id comes more than once."""
+    again = written(dated.groupBy(F.col("id").alias("_again")).count().where("count > 1").select("_again"))
+    if again.isEmpty():
+        return dated
+    same = F.col("id").eqNullSafe(F.col("_again"))
+    return written(dated.join(again, same, "left_anti").unionByName(tables.latest(dated.join(again, same, "left_semi"), "id", "seconds")))
+
+
 def merge(store: Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False) -> Merged:
     """Takes landed documents into the store, and advances its state.
 
@@ -35,7 +44,7 @@ def merge(store: Snapshots, landed: DataFrame, account: str = "main", now: int |
     with scope(store.spark) as lasting:
         marked = written(landed.withColumn("reason", validate.document_reason()))
         valid, refused = marked.where("reason is null").drop("reason"), lasting(marked.where("reason is not null"))
-        last = written(tables.latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))), "id", "seconds"))
+        last = _latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))))
         headers = validate.normalise_documents(last.withColumn("n_lines", validate.line_count()), "n_lines")
 
         def state(before: dict | None, taken: tuple[int, int], stored: tuple[int, int]) -> dict:
