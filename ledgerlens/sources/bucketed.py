@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def buckets_for(documents: int, held: int = 250_000) -> int:
+    """Buckets of about `held` documents each, so that what one task sorts does not grow with the tables."""
+    return max(8, -(-documents // held))
+
+
 def save(documents: DataFrame, lines: DataFrame, name: str, buckets: int, place: str | None = None) -> None:
     """Writes both tables to the session's catalogue as <name>_documents and <name>_lines, in as many buckets by document.
 

@@ -39,17 +39,46 @@ def as_pages(rows: DataFrame, field: str, key: str, nested: bool, size: int = 50
     count = rows.count()
     pages = max(1, -(-count // size))
     grouped = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(pages)).alias("page")).agg(F.collect_list(F.struct(*rows.columns)).alias("held"))
+    return _page_records(grouped, field, nested, count, pages)
+
+
+def _page_records(grouped: DataFrame, field: str, nested: bool, count: int, pages: int) -> DataFrame:
     body: Column = F.array("held") if nested else F.col("held")
     return grouped.select(F.lit(count).alias("count"), (F.col("page") + 1).alias("page"), F.lit(str(pages)).alias("pages"), body.alias(field))
 
 
 def nested_documents(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """Documents as a service gives them, with their lines nested and times in ISO form."""
-    held = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price")))).alias("document_items"))
+    held = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(_line())).alias("document_items"))
+    return documents.join(held, "doc_id", "left").select(*_landed_fields())
+
+
+def _line() -> Column:
+    return F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
+
+
+def _landed_fields() -> list[Column]:
     iso = F.date_format(F.timestamp_seconds("modified"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return documents.join(held, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), "context_id", F.col("doc_number").alias("document_number"), "customer_id", F.concat(F.col("issue_date").cast("string"), F.lit("T00:00:00Z")).alias("issue_date"), iso.alias("modified"), "document_items"
-    )
+    return [
+        F.col("doc_id").alias("id"), "context_id", F.col("doc_number").alias("document_number"), "customer_id", F.concat(F.col("issue_date").cast("string"), F.lit("T00:00:00Z")).alias("issue_date"), iso.alias("modified"), F.col("document_items")
+    ]
+
+
+def document_pages(documents: DataFrame, lines: DataFrame, size: int = 50) -> DataFrame:
+    """`as_pages` of `nested_documents`, with headers and lines dealt once, by the page of their document."""
+    count = documents.count()
+    pages = max(1, -(-count // size))
+    page = F.pmod(F.xxhash64("doc_id"), F.lit(pages)).alias("page")
+    header = [c for c in documents.columns if c != "doc_id"]
+    blank = F.lit(None).cast(documents.select(F.struct(*header).alias("header")).schema["header"].dataType)
+    rows = documents.select(page, "doc_id", F.struct(*header).alias("header"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("item_id", "quantity", "price")])
+    both = rows.unionByName(lines.select(page, "doc_id", blank.alias("header"), "item_id", "quantity", "price")).repartition("page")
+    line = F.when(F.col("header").isNull(), _line())
+    # headers that repeat an id have the same lines each
+    held = both.groupBy("page", "doc_id").agg(F.collect_list("header").alias("headers"), F.sort_array(F.collect_list(line)).alias("items"))
+    nested = held.select("page", "doc_id", F.explode("headers").alias("header"), F.when(F.size("items") > 0, F.col("items")).alias("document_items")).select("page", "doc_id", "header.*", "document_items")
+    grouped = nested.select("page", F.struct(*_landed_fields()).alias("row")).groupBy("page").agg(F.collect_list("row").alias("held"))
+    return _page_records(grouped, "documents", True, count, pages)
 
 
 def read_changes(spark: SparkSession, path: str, payload: str, wrapper: str) -> tuple[DataFrame, DataFrame]:
