@@ -22,10 +22,11 @@ from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import schemas
+from ledgerlens.scratch import scope, written
 
 
 class Conflict(RuntimeError):
@@ -95,6 +96,9 @@ HORIZON = 86_400
 #: Files of one part at most, about: so many tasks write it.
 FILES = 8
 
+#: Codec of the tables' files: they are written once and kept.
+CODEC = "zstd"
+
 _FIELDS = {"documents": schemas.STORED_DOCUMENTS, "lines": schemas.STORED_LINES}
 
 
@@ -196,23 +200,36 @@ class Snapshots:
                 out.append((rows if len(late) == len(held.parts) else rows.where(_inside(late))).withColumn("_v", F.lit(batch.version)))
         return out
 
+    def _part_rows(self, table: str, parts) -> DataFrame:
+        """What the files of these parts hold, without the batches."""
+        paths = [f"{self.root}/{p.folder}/{table}/part={p.value}" for p in parts]
+        # a part without rows has no folder
+        there = [f for f, p in zip(paths, parts) if p.rows and self._listed(f.removeprefix(f"{self.root}/"))]
+        return self.spark.read.schema(_FIELDS[table]).parquet(*there) if there else self.spark.createDataFrame([], _FIELDS[table])
+
     def _rows(self, held: Manifest, parts=None) -> tuple[DataFrame, DataFrame]:
-        """Both tables, or what some parts hold of them, with the columns they are stored with."""
+        """Both tables, or what some parts hold of them, with the columns they are stored with; only parts that lag meet the batches."""
         parts = held.parts if parts is None else parts
-        newest = self._batch_rows(held, "documents", parts)
-        newest = reduce(DataFrame.unionByName, newest).groupBy("doc_id").agg(F.max("_v").alias("_newest")) if newest else None
+        lagging = [p for p in parts if any(p.version < b.version for b in held.batches)]
+        newest = reduce(DataFrame.unionByName, self._batch_rows(held, "documents", lagging)).groupBy("doc_id").agg(F.max("_v").alias("_newest")) if lagging else None
         out = []
         for table, schema in _FIELDS.items():
-            paths = [f"{self.root}/{p.folder}/{table}/part={p.value}" for p in parts]
-            # a part without rows has no folder
-            there = [f for f, p in zip(paths, parts) if p.rows and self._listed(f.removeprefix(f"{self.root}/"))]
-            rows = self.spark.read.schema(schema).parquet(*there) if there else self.spark.createDataFrame([], schema)
-            if newest is not None:
-                rows = reduce(DataFrame.unionByName, self._batch_rows(held, table, parts), rows.withColumn("_v", F.lit(0)))
-                rows = rows.join(newest, "doc_id", "left").where("_newest is null or _v = _newest").select(*_columns(schema))
+            rows = self._part_rows(table, [p for p in parts if p not in lagging])
+            if lagging:
+                late = reduce(DataFrame.unionByName, self._batch_rows(held, table, lagging), self._part_rows(table, lagging).withColumn("_v", F.lit(0)))
+                late = late.join(newest, "doc_id", "left").where("_newest is null or _v = _newest").select(*_columns(schema))
+                rows = late if len(lagging) == len(parts) else rows.unionByName(late)
             out.append(rows.where("gone is null") if table == "documents" else rows)
         return tuple(out)
 
+    def _versions(self, held: Manifest, parts) -> tuple[DataFrame, DataFrame]:
+        """All versions of what these parts and the batches have of both tables, as _v; a batch's headers stand among the lines too, with _mark."""
+        batches = {table: self._batch_rows(held, table, parts) for table in _FIELDS}
+        out = [reduce(DataFrame.unionByName, batches[table], self._part_rows(table, parts).withColumn("_v", F.lit(0))).withColumn("_mark", F.lit(False)) for table in _FIELDS]
+        blank = [F.lit(None).cast(out[1].schema[c].dataType).alias(c) for c in out[1].columns if c not in ("doc_id", "_v", "_mark")]
+        out[1] = reduce(DataFrame.unionByName, (b.select("doc_id", "_v", F.lit(True).alias("_mark"), *blank) for b in batches["documents"]), out[1])
+        return tuple(out)
+
     def _tables(self, held: Manifest, parts=None) -> tuple[DataFrame, DataFrame]:
         documents, lines = self._rows(held, parts)
         return documents.select(*_columns(schemas.DOCUMENTS)), lines
@@ -240,15 +257,23 @@ class Snapshots:
         return max(0, -(-rows // self.part_rows) - 1).bit_length()
 
     def _write_parts(self, documents: DataFrame, lines: DataFrame, bits: int, base: Manifest) -> tuple[list[Part], tuple[int, int]]:
-        """Writes the parts of so many bits that these rows (with the columns as stored) make up; how many of both there are."""
+        """Writes the parts of so many bits that these rows (with the columns as stored) make up; how many of both there are.
+
+        Of rows from `_versions` the newest of each document are written, as found where they are dealt for writing.
+        """
         folder = self._new_folder(base)
         counts: dict[int, int] = {}
         totals = []
         for table, rows in (("documents", documents), ("lines", lines)):
             path = f"{self.root}/{folder}/{table}"
-            dealt = rows.select(*_columns(_FIELDS[table]), _prefix(bits).alias("part"))
-            dealt = dealt.repartition("part", F.pmod(F.xxhash64("doc_id"), F.lit(FILES))).sortWithinPartitions("part", "doc_id")
-            dealt.write.partitionBy("part").option("parquet.bloom.filter.enabled#doc_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+            kept = [*_columns(_FIELDS[table]), "part"]
+            dealt = rows.withColumns({"part": _prefix(bits), "_file": F.pmod(F.xxhash64("doc_id"), F.lit(FILES))}).repartition("part", "_file")
+            if "_v" in rows.columns:
+                newest = F.max("_v").over(Window.partitionBy("part", "doc_id", "_file"))
+                dealt = dealt.withColumn("_newest", newest).where("(doc_id is null or _v = _newest) and not _mark")
+                dealt = dealt.where("gone is null") if table == "documents" else dealt
+            dealt = dealt.select(*kept).sortWithinPartitions("part", "doc_id")
+            dealt.write.partitionBy("part").option("parquet.bloom.filter.enabled#doc_id", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("compression", CODEC).parquet(path)
             found = self.spark.read.schema(f"{_FIELDS[table]}, part long").parquet(path).groupBy("part").count().collect()  # from the files' footers; a row for each part
             totals.append(sum(r["count"] for r in found))
             for r in found:
@@ -303,14 +328,18 @@ class Snapshots:
         live = F.col("gone").isNull()
         seen = Observation()
         sums = {
-            "documents": F.count("*"), "lines": F.sum("n_lines"), "rows": F.sum(F.when(fresh, F.col("n_lines") + 1)),
+            "documents": F.count("*"), "lines": F.sum("n_lines"), "rows": F.sum(F.when(fresh, F.col("n_lines") + 1)), "stale": F.sum(F.when(fresh, 0).otherwise(1)),
             "more_documents": F.sum(F.when(fresh, live.cast("int") - F.col("_lines").isNotNull().cast("int"))), "more_lines": F.sum(F.when(fresh, F.col("n_lines") - F.coalesce("_lines", F.lit(0)))),
         }
         marked = headers.join(stored, "doc_id", "left").observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sums.items()])
-        marked.where(fresh).select(*_columns(_FIELDS["documents"])).write.parquet(f"{self.root}/{folder}/documents")
+        marked.where(fresh).select(*_columns(_FIELDS["documents"])).write.option("compression", CODEC).parquet(f"{self.root}/{folder}/documents")
         own = self.spark.read.schema(_FIELDS["documents"]).parquet(f"{self.root}/{folder}/documents")
-        lines.join(own.select("doc_id"), "doc_id", "left_semi").select(*_columns(_FIELDS["lines"])).write.parquet(f"{self.root}/{folder}/lines")
         found = seen.get
+        with scope(self.spark):
+            taken = lines.where("doc_id is not null")
+            if found["stale"]:  # only the ids of what is not taken meet the lines
+                taken = taken.join(written(headers.select("doc_id").join(own.select("doc_id"), "doc_id", "left_anti")), "doc_id", "left_anti")
+            taken.select(*_columns(_FIELDS["lines"])).write.option("compression", CODEC).parquet(f"{self.root}/{folder}/lines")
         batch = Batch(folder, base.version + 1, found["rows"])
         return replace(base, batches=(*base.batches, batch), documents=base.documents + found["more_documents"], lines=base.lines + found["more_lines"]), found
 
@@ -374,7 +403,7 @@ class Snapshots:
             of_bits = [p for p in chosen if p.bits == bits]
             rows = max(p.rows + sum(b.rows for b in base.batches if p.version < b.version) // (1 << bits) for p in of_bits)
             deeper = bits + self._bits_for(rows)
-            made, _ = self._write_parts(*self._rows(base, of_bits), deeper, base)
+            made, _ = self._write_parts(*self._versions(base, of_bits), deeper, base)
             there = {p.value for p in made}
             empty = [v for p in of_bits for v in range(p.value << deeper - bits, p.value + 1 << deeper - bits) if v not in there]
             kept += made + [Part(deeper, v, "", base.version, 0) for v in empty]

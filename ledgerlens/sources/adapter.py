@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.schemas import MONEY
+from ledgerlens.sources import landing
 
 AS_OF = date(2001, 8, 1)
 
@@ -18,6 +19,7 @@ class SalesTables:
     documents: DataFrame
     lines: DataFrame
     sales: DataFrame
+    nested: DataFrame
     items: DataFrame
     customers: DataFrame
     categories: DataFrame
@@ -36,9 +38,14 @@ def _kinds() -> Column:
 
 
 def _documents(orders: DataFrame) -> DataFrame:
-    rows = orders.select(F.col("o_orderkey").alias("doc_number"), F.concat(F.lit("C"), F.col("o_custkey")).alias("customer_id"), F.explode(_kinds()).alias("kind"))
+    return _headers(orders.withColumn("kind", F.explode(_kinds())))
+
+
+def _headers(rows: DataFrame, *more: str) -> DataFrame:
+    """Headers of orders with one kind each, and further columns as they are."""
+    rows = rows.select(F.col("o_orderkey").alias("doc_number"), F.concat(F.lit("C"), F.col("o_custkey")).alias("customer_id"), "kind", *more)
     return rows.select(
-        F.concat("kind.prefix", "doc_number").alias("doc_id"), "kind.context_id", "doc_number", "kind.issue_date", "customer_id", F.unix_date("kind.issue_date").cast("long").alias("day")
+        F.concat("kind.prefix", "doc_number").alias("doc_id"), "kind.context_id", "doc_number", "kind.issue_date", "customer_id", F.unix_date("kind.issue_date").cast("long").alias("day"), *more
     ).withColumn("modified", F.col("day") * 86400).drop("day")
 
 
@@ -62,6 +69,13 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
     sales = both.select(
         F.col("l_partkey").alias("item_id"), F.concat(prefix, "l_orderkey").alias("doc_id"), "kind.context_id", F.col("o_orderkey").alias("doc_number"), "kind.issue_date", F.concat(F.lit("C"), F.col("o_custkey")).alias("customer_id"), "quantity", "price"
     )
+    # headers with what `landing.nested_documents` nests, by the order's key: an order's lines are dealt once for all its documents
+    held = priced.withColumnRenamed("l_partkey", "item_id").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(landing.line()).alias("held"))
+    same, bought = Window.partitionBy("o_orderkey"), F.col("o_orderstatus") == "O"
+    # a key that comes again repeats its lines, on the documents of its kinds
+    counted = orders.withColumns({"_all": F.count("*").over(same), "_bought": F.count(F.when(bought, 1)).over(same)})
+    times = F.when(prefix == "E", F.col("_all")).when(prefix == "P", F.col("_bought")).otherwise(F.col("_all") - F.col("_bought"))
+    nested = _headers(counted.join(held, "o_orderkey", "left").withColumn("kind", F.explode(_kinds())).withColumn("document_items", F.sort_array(F.flatten(F.array_repeat("held", times.cast("int"))))), "document_items")
     category = F.concat_ws("/", "p_type", "p_brand")
     list_price = F.col("p_retailprice").cast("decimal(12,2)")
     items = part.select(
@@ -78,4 +92,4 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
         kinds.groupBy("p_type").agg(F.sum("item_count").alias("item_count")).select(F.col("p_type").alias("id"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("parent_id"), "item_count")
     )
     locations = read("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.expr("left(n_name, 3)").alias("short_name"))
-    return SalesTables(documents, lines, sales, items, customers, categories, locations)
+    return SalesTables(documents, lines, sales, nested, items, customers, categories, locations)

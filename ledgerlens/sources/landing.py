@@ -49,11 +49,17 @@ def _page_records(grouped: DataFrame, field: str, nested: bool, count: int, page
 
 def nested_documents(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """Documents as a service gives them, with their lines nested and times in ISO form."""
-    held = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(_line())).alias("document_items"))
-    return documents.join(held, "doc_id", "left").select(*_landed_fields())
+    held = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(line())).alias("document_items"))
+    return as_landed(documents.join(held, "doc_id", "left"))
 
 
-def _line() -> Column:
+def as_landed(documents: DataFrame) -> DataFrame:
+    """Headers with their nested lines (column document_items) as a service gives them."""
+    return documents.select(*_landed_fields())
+
+
+def line() -> Column:
+    """A nested line."""
     return F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
 
 
@@ -73,9 +79,9 @@ def document_pages(documents: DataFrame, lines: DataFrame, size: int = 50) -> Da
     blank = F.lit(None).cast(documents.select(F.struct(*header).alias("header")).schema["header"].dataType)
     rows = documents.select(page, "doc_id", F.struct(*header).alias("header"), *[F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("item_id", "quantity", "price")])
     both = rows.unionByName(lines.select(page, "doc_id", blank.alias("header"), "item_id", "quantity", "price")).repartition("page")
-    line = F.when(F.col("header").isNull(), _line())
+    own = F.when(F.col("header").isNull(), line())
     # headers that repeat an id have the same lines each
-    held = both.groupBy("page", "doc_id").agg(F.collect_list("header").alias("headers"), F.sort_array(F.collect_list(line)).alias("items"))
+    held = both.groupBy("page", "doc_id").agg(F.collect_list("header").alias("headers"), F.sort_array(F.collect_list(own)).alias("items"))
     nested = held.select("page", "doc_id", F.explode("headers").alias("header"), F.when(F.size("items") > 0, F.col("items")).alias("document_items")).select("page", "doc_id", "header.*", "document_items")
     grouped = nested.select("page", F.struct(*_landed_fields()).alias("row")).groupBy("page").agg(F.collect_list("row").alias("held"))
     return _page_records(grouped, "documents", True, count, pages)

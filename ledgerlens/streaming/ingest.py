@@ -33,16 +33,18 @@ def _latest(dated: DataFrame) -> DataFrame:
     return written(dated.join(again, same, "left_anti").unionByName(tables.latest(dated.join(again, same, "left_semi"), "id", "seconds")))
 
 
-def merge(store: Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False) -> Merged:
+def merge(store: Snapshots, landed: DataFrame, account: str = "main", now: int | None = None, full: bool = False, lasting_rows: bool = False) -> Merged:
     """Takes landed documents into the store, and advances its state.
 
     Of each document the latest version counts, and it replaces a stored one unless that is newer, with all its
     lines, so a batch that is run again changes nothing but the state.  Documents that the source no longer lists stay.
-    Of two merges at once one is second and merges with what the first has stored.
+    Of two merges at once one is second and merges with what the first has stored.  The landed rows are written once, as they
+    are read more than once, unless they come from a table that lasts (`lasting_rows`).
     """
     moment = int(time.time()) if now is None else now
     with scope(store.spark) as lasting:
-        marked = written(landed.withColumn("reason", validate.document_reason()))
+        marked = landed.withColumn("reason", validate.document_reason())
+        marked = marked if lasting_rows else written(marked)
         valid, refused = marked.where("reason is null").drop("reason"), lasting(marked.where("reason is not null"))
         last = _latest(valid.withColumn("seconds", validate.seconds_of(F.col("modified"))))
         headers = validate.normalise_documents(last.withColumn("n_lines", validate.line_count()), "n_lines")
@@ -79,11 +81,11 @@ def needs_sync(state: dict | None, account: str, now: int, threshold: int = 3600
     return kind_of(state, account, forced) == "full" or state["lastSync"] < now - threshold
 
 
-def sync(store: Snapshots, landed: DataFrame, account: str, now: int, forced: bool = False, removals: bool = False) -> tuple[DataFrame, DataFrame]:
+def sync(store: Snapshots, landed: DataFrame, account: str, now: int, forced: bool = False, removals: bool = False, lasting_rows: bool = False) -> tuple[DataFrame, DataFrame]:
     """A full or delta sync, as the store's state asks for: its summary row and the refused documents.
 
     A delta sync takes the documents modified after the last sync.  With `removals` the documents that the landed listing,
-    which must then be a whole one, no longer has are removed; else they stay.
+    which must then be a whole one, no longer has are removed; else they stay.  `lasting_rows` as in `merge`.
     """
     began = time.monotonic()
     state = store.state()
@@ -92,7 +94,7 @@ def sync(store: Snapshots, landed: DataFrame, account: str, now: int, forced: bo
     if kind == "delta":
         recent = lookups.changed_since(landed.withColumn("_at", validate.seconds_of(F.col("modified"))), state["lastSync"], "_at")
         landed = recent.drop("_at")
-    done = merge(store, landed, account, now, kind == "full")
+    done = merge(store, landed, account, now, kind == "full", lasting_rows)
     deleted = remove_unlisted(store, whole) if removals else 0
     row = (kind, done.documents, done.lines, deleted, time.monotonic() - began)
     return store.spark.createDataFrame([row], "type string, documents_processed long, lines_processed long, documents_deleted int, seconds double"), done.refused

@@ -74,6 +74,67 @@ def test_merge_of_repeated_documents(spark, tables):
     assert ingest._latest(single) is single
 
 
+def test_headers_nest_their_lines_by_the_orders_key(spark, tmp_path):
+    """The adapter's nested headers are those of the operator, of orders that repeat a key, have no lines or no key too."""
+    for name in ("lineitem", "part", "customer", "supplier", "nation"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    key = F.col("o_orderkey")
+    again = orders.where(key % 10 == 0).withColumn("o_orderstatus", F.when(key % 20 == 0, "O").when(key % 30 == 0, "F"))
+    blank = orders.limit(2).withColumn("o_orderkey", F.lit(None).cast("long"))
+    orders.unionByName(again).unionByName(blank).unionByName(again.limit(3).withColumn("o_orderkey", key + 10**9)).write.parquet(str(tmp_path / "orders.parquet"))
+    t = sales_tables(spark, str(tmp_path))
+    of_operator, found = landing.nested_documents(t.documents, t.lines), landing.as_landed(t.nested)
+    assert found.schema == of_operator.schema and found.where("document_items is null").count() >= 10
+    assert of_operator.exceptAll(found).isEmpty() and found.exceptAll(of_operator).isEmpty()
+    assert "doc_id" not in "".join(x for x in _plan(found).splitlines() if "Join" in x or "Aggregate" in x)
+
+
+def _landed(spark, start, end, day, customer="c"):
+    name = F.concat(F.lit("d"), F.col("id").cast("string"))
+    items = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(1.0).alias("quantity"), F.lit(2.0).alias("price")) for i in "12"])
+    return spark.range(start, end).select(name.alias("id"), F.lit(5).alias("context_id"), F.col("id").alias("document_number"), F.lit(customer).alias("customer_id"), F.lit("2025-01-02").alias("issue_date"), F.lit(f"2025-01-0{day}T00:00:00Z").alias("modified"), items.alias("document_items"))
+
+
+def test_stored_rows_are_dealt_once(spark, monkeypatch):
+    """Folding joins nothing; a batch of which nothing is stale meets the stored headers and no more; a listing that lasts is not copied."""
+    store = Snapshots(spark, tempfile.mkdtemp(prefix="spark-test-"), part_rows=100, fold_share=0.5)
+    ingest.merge(store, _landed(spark, 0, 200, 3), now=1)
+    joins, copies, join, copy = [], [], type(spark.range(1)).join, ingest.written
+    monkeypatch.setattr(type(spark.range(1)), "join", lambda self, *a: joins.append(a) or join(self, *a))
+    monkeypatch.setattr(ingest, "written", lambda df: copies.append(df.columns) or copy(df))
+    ingest.merge(store, _landed(spark, 150, 210, 4, "new"), now=2, lasting_rows=True)
+    assert copies == [["_again"]] and len(joins) == 1 and store.manifest().batches
+    joins.clear()
+    assert Snapshots(spark, store.root, 100, 0.1).fold() and not joins
+    held = store.manifest()
+    assert {r[0]: r[1] for r in store.read()[0].groupBy("customer_id").count().collect()} == {"c": 150, "new": 60}
+    assert store.read()[1].count() == 420 == held.lines and held.documents == 210
+
+
+def test_stale_documents_leave_their_lines(spark):
+    store = Snapshots(spark, tempfile.mkdtemp(prefix="spark-test-"), fold_share=9.0)
+    ingest.merge(store, _landed(spark, 0, 20, 3), now=1)
+    done = ingest.merge(store, _landed(spark, 10, 15, 2, "old").unionByName(_landed(spark, 15, 30, 4, "new")), now=2)
+    assert (done.documents, done.lines) == (20, 40) and store.manifest().batches[0].rows == 45
+    assert {r[0]: r[1] for r in store.read()[0].groupBy("customer_id").count().collect()} == {"c": 15, "new": 15}
+    assert store.read()[1].count() == 60 == store.manifest().lines
+    assert spark.read.parquet(f"{store.root}/{store.manifest().batches[0].folder}/lines").count() == 30
+
+
+def test_parts_that_do_not_lag_meet_no_batch(spark):
+    store = Snapshots(spark, tempfile.mkdtemp(prefix="spark-test-"), part_rows=100, fold_share=0.2)
+    ingest.merge(store, _landed(spark, 0, 300, 3), now=1)
+    ingest.merge(store, _landed(spark, 0, 100, 4, "new"), now=2)
+    held = store.manifest()
+    late = [p for p in held.parts if p.version < held.batches[0].version]
+    assert 0 < len(late) < len(held.parts)
+    for table in store.read():
+        plan = _plan(table)
+        assert plan.splitlines()[0].startswith("Union") and table.count() in (300, 600)
+    assert store.read()[0].where("customer_id = 'new'").count() == 100
+
+
 def test_medians_of_values_with_wide_and_narrow_ranges(spark):
     rows = spark.createDataFrame([(1, -(2**60)), (1, 5), (1, 2**60), (2, 7), (2, 8), (3, -1), (4, None)], "k int, v long")
     assert {r.k: r["median"] for r in exact_medians(rows, "k", "v").collect()} == {1: 5.0, 2: 7.5, 3: -1.0}
