@@ -22,23 +22,35 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "doc_id", order:
     return both.groupBy(F.col(key).alias("_key")).agg(last.alias("row")).select("row.*")
 
 
-def replace_lines(lines: DataFrame, new_lines: DataFrame, documents: DataFrame) -> DataFrame:
-    """`lines` in which the lines of these documents are replaced by the new ones."""
-    return lines.join(documents.select("doc_id"), "doc_id", "left_anti").unionByName(new_lines.select(*lines.columns))
+def lines_of(lines: DataFrame, documents: DataFrame, dealt_by: str | None = None, others: bool = False) -> DataFrame:
+    """The lines of these documents, or all others.
+
+    `dealt_by` names a column of both tables of which each document has one value, and by which the lines are dealt already: they
+    meet the documents by it, and are not dealt by document as well.
+    """
+    how = "left_anti" if others else "left_semi"
+    if dealt_by is None:
+        return lines.join(documents.select("doc_id"), "doc_id", how)
+    ids = documents.where("doc_id is not null").groupBy(F.col(dealt_by).alias("_dealt")).agg(F.collect_set("doc_id").alias("_ids"))
+    return lines.join(ids, (F.col(dealt_by) == F.col("_dealt")) & F.array_contains("_ids", F.col("doc_id")), how)
+
+
+def replace_lines(lines: DataFrame, new_lines: DataFrame, documents: DataFrame, dealt_by: str | None = None) -> DataFrame:
+    """`lines` in which the lines of these documents are replaced by the new ones; `dealt_by` as in `lines_of`."""
+    return lines_of(lines, documents, dealt_by, others=True).unionByName(new_lines.select(*lines.columns))
 
 
 def append_lines(lines: DataFrame, new_lines: DataFrame) -> DataFrame:
     return lines.unionByName(new_lines.select(*lines.columns))
 
 
-def delete_documents(documents: DataFrame, lines: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables without these documents."""
-    gone = ids.select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti"), lines.join(gone, "doc_id", "left_anti")
+def delete_documents(documents: DataFrame, lines: DataFrame, ids: DataFrame, dealt_by: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables without these documents; `dealt_by` as in `lines_of`."""
+    return documents.join(ids.select("doc_id"), "doc_id", "left_anti"), lines_of(lines, ids, dealt_by, others=True)
 
 
-def delete_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    return lines.join(ids.select("doc_id"), "doc_id", "left_anti")
+def delete_lines(lines: DataFrame, ids: DataFrame, dealt_by: str | None = None) -> DataFrame:
+    return lines_of(lines, ids, dealt_by, others=True)
 
 
 def apply_changes(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

@@ -18,6 +18,7 @@ AS_OF = date(2001, 8, 1)
 class SalesTables:
     documents: DataFrame
     lines: DataFrame
+    numbered: DataFrame
     sales: DataFrame
     nested: DataFrame
     items: DataFrame
@@ -59,9 +60,11 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
     )
     # a line stands on the order's estimate and on its invoice or purchase order
     second = F.when(F.col("o_orderstatus") == "O", "P").otherwise("I")
-    lines = priced.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select(
-        F.col("l_partkey").alias("item_id"), F.explode(F.array(F.concat(F.lit("E"), "l_orderkey"), F.concat(second, "l_orderkey"))).alias("doc_id"), "quantity", "price"
+    # `numbered`: with the order's key, by which they are dealt
+    numbered = priced.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").select(
+        F.col("l_orderkey").alias("doc_number"), F.col("l_partkey").alias("item_id"), F.explode(F.array(F.concat(F.lit("E"), "l_orderkey"), F.concat(second, "l_orderkey"))).alias("doc_id"), "quantity", "price"
     )
+    lines = numbered.drop("doc_number")
     # `facts.sales_lines` of both, by the order's key, by which the lines are dealt already: they do not meet their headers by document too
     prefix = F.col("kind.prefix")
     ordered = priced.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), second.alias("second")), "l_orderkey")
@@ -92,4 +95,4 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
         kinds.groupBy("p_type").agg(F.sum("item_count").alias("item_count")).select(F.col("p_type").alias("id"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("parent_id"), "item_count")
     )
     locations = read("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.expr("left(n_name, 3)").alias("short_name"))
-    return SalesTables(documents, lines, sales, nested, items, customers, categories, locations)
+    return SalesTables(documents, lines, numbered, sales, nested, items, customers, categories, locations)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import facts
+from ledgerlens.operators import tables as operators
 from ledgerlens.operators.selection import exact_medians
 from ledgerlens.operators.store import Snapshots
 from ledgerlens.plans import registry
@@ -143,5 +144,30 @@ def test_medians_of_values_with_wide_and_narrow_ranges(spark):
     assert exact_medians(rows.where("k = 4"), "k", "v").isEmpty()
 
 
+def test_lines_are_replaced_where_they_are_dealt(spark, tables):
+    """By the document's number the same as by its id; at size the lines are dealt by the order's key alone."""
+    some = tables.documents.where("doc_number % 10 = 0 and context_id = 5")
+    some = some.unionByName(some.limit(3)).unionByName(some.limit(1).withColumn("doc_id", F.lit(None).cast("string")))
+    new = tables.numbered.where("doc_number = 10").limit(1)
+    names = ["item_id", "doc_id", "quantity", "price"]  # joins by name put the key first
+    by_id, by_number = (operators.replace_lines(tables.numbered, new, some, key).select(names) for key in (None, "doc_number"))
+    assert by_id.exceptAll(by_number).isEmpty() and by_number.exceptAll(by_id).isEmpty() and by_id.count() < tables.lines.count()
+    unnamed = tables.numbered.withColumn("doc_id", F.when(F.col("item_id") % 5 != 0, F.col("doc_id")))
+    for others in (True, False):
+        one, other = (operators.lines_of(unnamed, some, key, others).select(names) for key in (None, "doc_number"))
+        assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    bound = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in bound}
+    try:
+        for k, v in bound.items():
+            spark.conf.set(k, v)
+        for query in ("replace_lines", "delete_lines"):
+            plan = registry.queries()[query](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_buckets_grow_with_the_tables():
     assert [bucketed.buckets_for(n) for n in (0, 300_000, 18_000_000, 108_000_000)] == [8, 8, 72, 432]
