@@ -5,7 +5,8 @@ then placed, longest first, in the open window with the least room that still ho
 tree indexed by remaining capacity.  Documents are dealt by hash into bins of some thousand pieces that are
 packed independently; a bin this large leaves little padding, and its packing depends on its rows alone, so a
 repeated task gives the same windows.  Of rows that are alike in all that orders them, where there are very many, each is
-dealt by itself, so no bin outgrows its size.
+dealt by itself, so no bin outgrows its size.  Only what orders pieces goes into the bins if ids, texts or the like are
+carried along; these join the places by a number given to each stored piece.
 
 Defined results: a null text counts as empty and has the end token only; whole texts are packed, no
 token is dropped or repeated; repeated rows are packed each; columns beside those named are carried along; an
@@ -109,16 +110,33 @@ def tokenised_pieces(docs: DataFrame, path: str, window: int, end_id: int, doc_i
     return source.mapInArrow(lean(run), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")
 
 
+#: Values of these types are a few bytes each.
+SMALL = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def pack(pieces: DataFrame, window: int, length: str = "length", order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
     """`pieces` with sequence_id and offset, which replace columns of these names.
 
     Pieces are at least 1 and at most `window` long; `order` breaks ties of length.
     """
     for_python(pieces.sparkSession)
-    table = written(pieces.drop("sequence_id", "offset"))
+    own = pieces.drop("sequence_id", "offset")
+    name, key, again, row = unused(own.columns, "_bin", "_key", "_again", "_row")
+    needed = dict.fromkeys([length, *order])
+    # a bin of ids or texts is tens of MB, held several times over in Arrow by its task and worker: such columns stay out of the bins
+    apart = any(not isinstance(f.dataType, SMALL) for f in own.schema if f.name not in needed)
+    table = written(own.withColumn(row, F.monotonically_increasing_id()) if apart else own)
+    placed = _placed(table.select(row, *needed) if apart else table, window, length, order, (name, key, again))
+    if not apart:
+        return placed
+    return table.join(written(placed.select(row, "sequence_id", "offset")), row).drop(row)
+
+
+def _placed(table: DataFrame, window: int, length: str, order: tuple[str, ...], names: tuple[str, str, str]) -> DataFrame:
+    """A stored table of pieces with sequence_id and offset; `names` are of no column of it."""
     bins = buckets_for(table.count(), BIN_PIECES)
     schema = T.StructType([*table.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    name, key, again = unused(table.columns, "_bin", "_key", "_again")
+    name, key, again = names
 
     def run(key: tuple, held: pa.Table) -> pa.Table:
         held = held.drop_columns(name)

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -108,6 +109,20 @@ def test_packing_is_repeatable(spark):
     assert once == again
 
 
+def test_ids_stay_out_of_the_bins(spark, monkeypatch):
+    """Bins of ids took an executor beyond its memory; each piece gets its own ids back, repeated ones too."""
+    sent, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda grouped, run, schema: sent.append(grouped._df.columns) or apply(grouped, run, schema))
+    pieces = packing.tokenised_pieces(docs_of(spark), PATH, 256, 1).withColumn("check", F.crc32("ids"))
+    order = ("doc_id", "start", "check")
+    found = packing.pack(pieces, 256, order=order)
+    assert [sorted(c) for c in sent] == [["_bin", "_row", "check", "doc_id", "length", "start"]]
+    assert found.columns == [*pieces.columns, "sequence_id", "offset"]
+    assert found.where("check <> crc32(ids) or length * 4 <> octet_length(ids)").isEmpty()
+    slim = packing.pack(pieces.drop("ids"), 256, order=order)
+    assert found.drop("ids").exceptAll(slim).isEmpty() and slim.exceptAll(found.drop("ids")).isEmpty()
+
+
 def test_rows_alike_are_dealt_over_all_bins(spark):
     alike = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.lit(1) + F.col("id") * 0).alias("length"), F.lit("x").alias("_key"))
     other = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 200 + 1).alias("length"), F.lit("y").alias("_key"))
