@@ -26,6 +26,21 @@ def exact_sum(value: Column, places: int = 8) -> Column:
     return F.sum(value.cast(f"decimal(38,{places})")).cast("double")
 
 
+def double_sum(value: Column) -> Column:
+    """Sum of doubles as they are, rounded once: the same in any order of tasks, and for two values what adding them gives.
+
+    Whole and broken parts are summed as integers, the latter in units of 2^-62.  Values with smaller bits and sums beyond 2^62
+    are taken as decimals (`exact_sum`).
+    """
+    unit = F.lit(2**62)
+    whole = value.try_cast("bigint")
+    part = (value - whole) * unit.cast("double")
+    units = part.try_cast("bigint")
+    total = F.sum(whole.cast("decimal(20,0)")) * unit.cast("decimal(19,0)") + F.sum(units.cast("decimal(20,0)"))
+    fits = (F.sum(F.abs(value)) < unit.cast("double")) & F.bool_and(part == units.cast("double"))
+    return F.when(fits, total.cast("double") / unit.cast("double")).otherwise(exact_sum(value))
+
+
 def months_back(as_of: date, months: int) -> date:
     """The date so many calendar months earlier; days past the end of that month run over into the next."""
     count = as_of.year * 12 + as_of.month - 1 - months

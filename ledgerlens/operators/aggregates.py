@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import Window as Dates
-from ledgerlens.functions.numeric import exact_sum, quarters, ratio, trailing_days, trailing_months
+from ledgerlens.functions.numeric import double_sum, exact_sum, quarters, ratio, trailing_days, trailing_months
 from ledgerlens.operators.selection import exact_medians
 
 
@@ -126,7 +126,7 @@ def with_totals(rows: DataFrame, *totals: Column) -> DataFrame:
 def share_of_total(rows: DataFrame, value: Column, empty: float | None) -> DataFrame:
     """Rows with share: percent of the item's total of `value`, or `empty` where the total is 0."""
     share = ratio(value, F.nullif("_total", F.lit(0.0))) * 100
-    return with_totals(rows, exact_sum(value).alias("_total")).withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty))).drop("_total")
+    return with_totals(rows, double_sum(value).alias("_total")).withColumn("share", share if empty is None else F.coalesce(share, F.lit(empty))).drop("_total")
 
 
 def order_profile(sales: DataFrame, dates: Dates, by_selection: bool = False) -> DataFrame:

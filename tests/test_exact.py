@@ -1,8 +1,11 @@
 """Sums that do not depend on the order in which tasks bring their rows."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import stats
+from ledgerlens.functions.numeric import double_sum
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import statistics as st
 
@@ -34,3 +37,22 @@ def test_volatility_at_a_border(spark):
     large = spark.createDataFrame([(1e20,), (3e20,)], "q double")
     assert abs(large.agg(stats.exact_volatility(F.col("q")).alias("v")).first().v - 0.5) < 1e-12
     assert spark.createDataFrame([(0.0,)], "q double").agg(stats.exact_volatility(F.col("q")).alias("v")).first().v == 0.0
+
+
+def _two(spark, a, b):
+    return spark.createDataFrame([(1, "C1", 1.0, a), (1, "C2", 1.0, b)], "item_id int, customer_id string, total_quantity double, total_revenue double").repartition(2)
+
+
+def test_total_of_two_customers(spark):
+    """As doubles these make 74570.09999999999 in either order; as decimals 74570.1, of which the second has 10 percent and no more."""
+    shares = agg.share_of_total(_two(spark, 67113.09, 7457.01), F.abs("total_revenue"), None)
+    assert {r.share for r in shares.collect()} == {x / (67113.09 + 7457.01) * 100 for x in (67113.09, 7457.01)}
+    assert tuple(agg.customer_segments(shares).first()) == (1, 2, 0, 0)
+
+
+def test_double_sum(spark):
+    groups = {1: [0.1] * 10, 2: [1e9, 0.01, -1e9, 0.3], 3: [26081.72, 1 / 3, 2.5e-3] * 7, 4: [1e-4] * 3 + [2.0**-70], 5: [3e18, 2e18, 0.25], 6: [None], 7: [0.0, -0.0]}
+    rows = spark.createDataFrame([(g, x) for g, values in groups.items() for x in values], "g int, x double").repartition(5)
+    found = {r.g: r.s for r in rows.groupBy("g").agg(double_sum(F.col("x")).alias("s")).collect()}
+    assert found[6] is None and found[4] == 3e-4 and found[5] == 5e18
+    assert all(found[g] == math.fsum(groups[g]) for g in (1, 2, 3, 7))
