@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numeric import Window as Dates
-from ledgerlens.functions.numeric import double_sum, exact_sum, quarters, ratio, trailing_days, trailing_months
+from ledgerlens.functions.numeric import double_sum, quarters, ratio, trailing_days, trailing_months
 from ledgerlens.operators.selection import exact_medians
 
 
@@ -107,7 +107,7 @@ def daily_sales(sales: DataFrame, as_of: date, days: int = 90) -> DataFrame:
 
 
 def total_sums() -> list[Column]:
-    return [F.count("*").alias("total_customers"), exact_sum(F.col("total_quantity")).alias("total_quantity"), exact_sum(F.abs("total_revenue")).alias("total_revenue")]
+    return [F.count("*").alias("total_customers"), double_sum(F.col("total_quantity")).alias("total_quantity"), double_sum(F.abs("total_revenue")).alias("total_revenue")]
 
 
 def item_totals(by_customer: DataFrame) -> DataFrame:

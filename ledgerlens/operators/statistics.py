@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,16 +72,19 @@ def discounts(distribution: DataFrame) -> DataFrame:
     return price_profile(distribution).select("item_id", "mode_price", "has_discounts", "discount_frequency", "avg_discount_pct")
 
 
-def concentration(shares: DataFrame, *more, tops: tuple[int, ...] = (3, 5)) -> DataFrame:
+def concentration(shares: DataFrame, *more, tops: tuple[int, ...] = (3, 5), by_rank: bool = False) -> DataFrame:
     """Sum of squared shares, and the sum of the largest shares, of each item (rows with share in percent).
 
-    `more` are aggregates to be taken in the same grouping.
+    `more` are aggregates to be taken in the same grouping.  With `by_rank` the largest shares are added as doubles, from the largest on,
+    else as decimals.
     """
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("share"), "customer_id"))
     # each task keeps the first of an item before they meet, so an item of many customers is not ranked in one task
     first = shares.select("item_id", "customer_id", "share").withColumn("rank", rank).where(F.col("rank") <= max(tops))
     # an item's unknown shares (its total is 0) make its top shares unknown too, its index stays 0
-    sums = [exact_sum(F.when(F.col("rank") <= n, F.col("share")), 18).alias(f"top_{n}_share") for n in tops]
+    nth = [F.max(F.when(F.col("rank") == n, F.col("share"))) for n in range(1, max(tops) + 1)]
+    top = lambda n: reduce(lambda s, x: s + F.coalesce(x, F.lit(0.0)), nth[:n]) if by_rank else exact_sum(F.when(F.col("rank") <= n, F.col("share")), 18)
+    sums = [top(n).alias(f"top_{n}_share") for n in tops]
     whole = shares.groupBy("item_id").agg(stats.herfindahl(F.col("share")).alias("herfindahl"), *more)
     return whole.join(first.groupBy("item_id").agg(*sums), "item_id")
 

@@ -125,7 +125,7 @@ def customer_shares(sales: DataFrame, as_of: date) -> DataFrame:
 
 def customers(sales: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     shares = customer_shares(sales, as_of)
-    rows = _for_all(items, st.concentration(shares, *agg.total_sums(), *agg.segment_counts()).withColumnsRenamed({c: f"{c}_customers" for c in ("large", "medium", "small")}))
+    rows = _for_all(items, st.concentration(shares, *agg.total_sums(), *agg.segment_counts(), by_rank=True).withColumnsRenamed({c: f"{c}_customers" for c in ("large", "medium", "small")}))
     none = F.col("total_customers").isNull()
     top = lambda n: js_round(F.when(none, 0.0).otherwise(F.col(f"top_{n}_share")), 1).alias(f"top_{n}_share")
     return rows.select(

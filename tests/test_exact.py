@@ -1,6 +1,8 @@
 """Sums that do not depend on the order in which tasks bring their rows."""
 
 import math
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from ledgerlens.functions import stats
 from ledgerlens.functions.numeric import double_sum
 from ledgerlens.operators import aggregates as agg
 from ledgerlens.operators import statistics as st
+from ledgerlens.plans import reports
 
 
 def _tenths(spark):
@@ -56,3 +59,17 @@ def test_double_sum(spark):
     found = {r.g: r.s for r in rows.groupBy("g").agg(double_sum(F.col("x")).alias("s")).collect()}
     assert found[6] is None and found[4] == 3e-4 and found[5] == 5e18
     assert all(found[g] == math.fsum(groups[g]) for g in (1, 2, 3, 7))
+
+
+def _sold(spark, *revenues):
+    """An item's invoices, one of each customer."""
+    rows = [(1, f"I{n}", 5, n, date(2001, 7, 1), f"C{n}", Decimal(1), Decimal(str(x))) for n, x in enumerate(revenues)]
+    types = "item_id int, doc_id string, context_id int, doc_number int, issue_date date, customer_id string, quantity decimal(18,4), price decimal(18,4)"
+    return spark.createDataFrame(rows, types), spark.createDataFrame([(1, "x")], "id int, name string")
+
+
+def test_top_share_at_a_border(spark):
+    """The first three shares add up to 93.25 as doubles from the largest on; as decimals they were less, so 93.2."""
+    row = reports.customers(*_sold(spark, 82748.16, 69479.2, 42627.84, 14104.8), date(2001, 8, 1)).first()
+    assert (row.total_revenue, row.top_3_share, row.top_5_share) == (208960.0, 93.3, 100.0)
+    assert reports.customers(*_sold(spark, 2, 0, 0), date(2001, 8, 1)).first().top_3_share == 100.0
