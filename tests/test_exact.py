@@ -73,3 +73,10 @@ def test_top_share_at_a_border(spark):
     row = reports.customers(*_sold(spark, 82748.16, 69479.2, 42627.84, 14104.8), date(2001, 8, 1)).first()
     assert (row.total_revenue, row.top_3_share, row.top_5_share) == (208960.0, 93.3, 100.0)
     assert reports.customers(*_sold(spark, 2, 0, 0), date(2001, 8, 1)).first().top_3_share == 100.0
+
+
+def test_share_of_a_first_customer(spark):
+    """A share that is 31.25 in decimals and less as doubles, in either order."""
+    sales, _ = _sold(spark, 9544.04, 4338.2)
+    found = {r.customer_id: r.share_pct for r in reports.customers_top(sales, date(2001, 8, 1)).collect()}
+    assert found == {"C0": 68.8, "C1": 31.2}
